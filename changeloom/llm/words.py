@@ -54,7 +54,10 @@ def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, for n positions at least."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, CHUNK_BYTES * 2)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n, x)]).astype(np.uint64)) for x in (_BASE, _INVERSE)]
+        for k, x in enumerate((_BASE, _INVERSE)):
+            factors = np.full(n + 1, x, np.uint64)
+            factors[0] = 1
+            _powers[k : k + 1] = [np.cumprod(factors)]
     return _powers
 
 
@@ -107,7 +110,8 @@ def words(texts: pa.Array, kind: np.ndarray = GRAPHIC, fold: np.ndarray = SAME,
         after = np.concatenate([inside[1:], [False]]) if len(data) else inside
         end = np.flatnonzero(inside & (~after | border[1:])) + 1
         power, inverse = _power_tables(len(data) + 1)
-        total = np.concatenate([[0], np.cumsum(_BYTE[fold[data]] * power[: len(data)])]).astype(np.uint64)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[fold[data]] * power[: len(data)], out=total[1:])
         sums = (total[end] - total[start]) * inverse[start]
         yield Words(row, data, start, end, mix(sums + (end - start).astype(np.uint64) * np.uint64(_STEP)), np.searchsorted(start, offsets))
 

@@ -51,7 +51,7 @@ def _word_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, i
         yield w.row, doc[new], key[new], len(w.first) - 1
 
 
-def fit(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, features: int = FEATURES, rounds: int = 400, penalty: float = 1e-4) -> Model:
+def fit(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, features: int = FEATURES, rounds: int = 1000, penalty: float = 1e-5) -> Model:
     """The model of documents 0 .. len(grade) - 1 with (doc, word) pairs, by gradient steps of their own size (Adam)."""
     grades = int(grade.max(initial=0))
     if not len(grade) or grade.min() == grade.max():
@@ -110,7 +110,7 @@ def train(documents: DataFrame, grades: DataFrame, sample: int = SAMPLE, sample_
 
 
 def score(documents: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """doc_id, severity (expected grade), toxic (chance of any grade over 0 is limit or more) for each row."""
+    """doc_id, severity (expected grade), toxic (the chance of the highest grade is limit or more) for each row."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +121,13 @@ def score(documents: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
                 at = np.minimum(np.searchsorted(model.words, key), len(model.words) - 1)
                 hit = model.words[at] == key
                 margin[row : row + n] = np.bincount(doc[hit], model.weight[at[hit]], n)
-            any_grade = 1 / (1 + np.exp(model.bounds[0] - margin)) if len(model.bounds) else np.zeros(len(margin))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.severity(margin)), pa.array(any_grade >= limit)], ["doc_id", "severity", "toxic"])
+            highest = 1 / (1 + np.exp(model.bounds[-1] - margin)) if len(model.bounds) else np.zeros(len(margin))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.severity(margin)), pa.array(highest >= limit)], ["doc_id", "severity", "toxic"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, severity double, toxic boolean")
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """Grades from labels: 0 not toxic, 1 toxic, 2 toxic in a text of low quality."""
-    return labels.select("doc_id", (F.col("toxic") * (2 - F.coalesce("quality", F.lit(1)))).alias("grade"))
+    """Grades from labels: 0 fine, 1 of low quality but not toxic, 2 toxic."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("toxic").isNotNull(), 1 - F.coalesce("quality", F.lit(1))).alias("grade"))

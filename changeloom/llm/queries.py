@@ -84,13 +84,13 @@ FROM doc LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)""",
 WITH RECURSIVE doc AS (SELECT doc_id, {_PLAIN_WORDS.format(_FOLD)} AS w FROM documents),
 shingle AS (SELECT DISTINCT doc_id, w[i : i + 2] AS g FROM doc, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS t(i) WHERE len(w) > 0),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
-pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM pair JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * both >= 90 * (s.n + t.n - both)),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * shared >= 90 * (s.n + t.n - shared)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, low AS component_id
 FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) ON a = doc.doc_id""",
     "op3_topk": """
-WITH whole AS (SELECT vec_id, list_transform(embedding, x -> floor(CAST(x AS DOUBLE) * 64)) AS v FROM embeddings),
+WITH whole AS (SELECT vec_id, [floor(CAST(x AS DOUBLE) * 64) FOR x IN embedding] AS v FROM embeddings),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",

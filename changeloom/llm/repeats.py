@@ -34,7 +34,7 @@ from changeloom.llm.words import GRAPHIC, SAME, Words, mix, ngrams, words
 
 SPAN = 13
 ANCHOR = 5
-HELD = 3_000_000
+HELD = 800_000
 _SALT = np.uint64(0xA0761D6478BD642F)
 SINGLE, SEVERAL, SETTLED = 0, 1, 2
 

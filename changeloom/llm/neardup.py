@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
-from changeloom.llm.frames import cut
+from changeloom.llm.frames import cut, drop
 from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, ngrams, ragged, words
 
 SHINGLE = 5
 SIMILARITY = Fraction(8, 10)
-RANKED = 1 << 20
+RANKED = 1 << 18
 CELLS = 128  # parity cells of the suffix filter, as two 64-bit words
 
 
@@ -53,14 +53,24 @@ def word_counts(documents: DataFrame, ranked: int = RANKED) -> tuple[np.ndarray,
         for batch in batches:
             for w in words(batch.column(0), GRAPHIC, LOWER):
                 held.append(np.unique(w.hash, return_counts=True))
-                if sum(len(k) for k, _ in held) > 4_000_000:
+                if sum(len(k) for k, _ in held) > 1_500_000:
                     held[:] = [merged()]
         keys, n = merged()
         keep = n >= 2
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(n[keep])], ["word", "n"])
 
-    counted = documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "word").limit(ranked).toPandas()
+    counted = cut(documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    least, total = 1, 0
+    steps = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    for r in sorted(steps.collect(), reverse=True):  # a row for each eighth of a power of two
+        total += r["words"]
+        if total > ranked:
+            break
+        least = r["least"]
+    else:
+        least = 1
+    found = counted.where(F.col("n") >= least).toPandas()
+    drop(counted)
     keys, n = found["word"].to_numpy(np.int64).astype(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], n[order]

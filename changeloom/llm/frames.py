@@ -18,6 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of few and small enough rows that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -26,6 +32,7 @@ def _path(spark: SparkSession, name: str):
 def cut(frame: DataFrame) -> DataFrame:
     """The frame's rows from a Parquet table in the shared folder: computed once, kept when executors are lost."""
     spark = frame.sparkSession
+    bound_batches(spark)
     name = f"{shared_folder(spark)}/loom-{uuid.uuid4().hex}"
     frame.write.parquet(name)
     path, fs = _path(spark, name)
@@ -42,6 +49,7 @@ def drop(frame: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

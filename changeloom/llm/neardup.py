@@ -53,7 +53,7 @@ def word_counts(documents: DataFrame, ranked: int = RANKED) -> tuple[np.ndarray,
         for batch in batches:
             for w in words(batch.column(0), GRAPHIC, LOWER):
                 held.append(np.unique(w.hash, return_counts=True))
-                if sum(len(k) for k, _ in held) > 1_500_000:
+                if sum(len(k) for k, _ in held) > 600_000:
                     held[:] = [merged()]
         keys, n = merged()
         keep = n >= 2
@@ -173,14 +173,24 @@ def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _passes(t: Fraction) -> str:
-    """Length, position and suffix filter for postings x and y; at counts what stands before the shingle."""
+def _near(t: Fraction) -> str:
+    """Length and position filter for postings x and y; at counts what stands before the shingle."""
     a, b = t.numerator, t.denominator
-    need = f"ceil({a} * (x.n + y.n) / {a + b})"
-    return (
-        f"{b} * least(x.n, y.n) >= {a} * greatest(x.n, y.n) AND least(x.n - x.at, y.n - y.at) >= {need} - least(x.at, y.at)"
-        f" AND bit_count(x.p ^ y.p) + bit_count(x.q ^ y.q) <= x.n + y.n - 2 * {need}"
-    )
+    return f"{b} * least(x.n, y.n) >= {a} * greatest(x.n, y.n) AND least(x.n - x.at, y.n - y.at) >= ceil({a} * (x.n + y.n) / {a + b}) - least(x.at, y.at)"
+
+
+def _suffix_filtered(pairs: DataFrame, signs: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs u, v whose parities allow a symmetric difference as small as the similarity needs."""
+    x, y = (signs.select(F.col("id").alias(k), F.struct("n", "p", "q").alias(s)) for k, s in (("u", "x"), ("v", "y")))
+    need = f"ceil({t.numerator} * (x.n + y.n) / {t.numerator + t.denominator})"
+    return pairs.join(x, "u").join(y, "v").where(f"bit_count(x.p ^ y.p) + bit_count(x.q ^ y.q) <= x.n + y.n - 2 * {need}").select("u", "v").distinct()
+
+
+def _links(pairs: DataFrame, documents: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+    """u, v of the pairs that are similar; only texts of documents in a pair are read again and turned into sets."""
+    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    members = cut(_member_sets(documents.join(ids, "doc_id", "left_semi"), shingle))
+    return cut(_verified(pairs, members, t))
 
 
 def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -189,22 +199,21 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     signed = cut(_signatures(documents, shingle, t, word_counts(documents)))
     known = signed.where("n > 0 AND doc_id IS NOT NULL")
     kept = cut(known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("p", "q", "prefix"), "doc_id").alias("s")))
-    posted = kept.select("id", "n", F.col("s.p").alias("p"), F.col("s.q").alias("q"), F.posexplode("s.prefix").alias("at", "shingle"))
-    pivots = posted.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("n", "id", "p", "q", "at")).alias("y")).where("many > 1")
+    signs = kept.select("id", "n", "s.p", "s.q")
+    posted = kept.select("id", "n", F.posexplode("s.prefix").alias("at", "shingle"))
+    pivots = posted.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("n", "id", "at")).alias("y")).where("many > 1")
     shared = cut(posted.join(pivots.drop("many"), "shingle"))
-    first = shared.alias("x").where("id <> y.id").where(_passes(t)).select(F.greatest("id", "y.id").alias("u"), F.least("id", "y.id").alias("v")).distinct()
-    first = cut(first)
-    some = shared.select(F.col("id").alias("doc_id")).distinct()
-    members = cut(_member_sets(documents.join(some, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
-    links = cut(_verified(first, members, t))
+    first = shared.alias("x").where("id <> y.id").where(_near(t)).select(F.greatest("id", "y.id").alias("u"), F.least("id", "y.id").alias("v")).distinct()
+    first = cut(_suffix_filtered(first, signs, t))
+    links = _links(first, documents, shingle, t)
     near = components(links)
     placed = shared.drop("y").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = cut(placed.join(mixed.select("shingle"), "shingle", "left_semi"))
-    rest = open_.alias("x").join(open_.alias("y"), "shingle").where("x.component < y.component").where(_passes(t))
+    rest = open_.alias("x").join(open_.alias("y"), "shingle").where("x.component < y.component").where(_near(t))
     rest = rest.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    every = links.unionByName(_verified(rest, members, t))
-    ends = components(every)
+    rest = cut(_suffix_filtered(rest, signs, t))
+    ends = near if rest.isEmpty() else components(links.unionByName(_links(rest, documents, shingle, t)))
     named = kept.select("n", "a", "b", "id").join(ends, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -3,7 +3,7 @@
 A batch of texts is handled as one byte buffer: word borders, 64-bit word hashes and
 n-gram hashes come from whole-buffer numpy operations, so the cost is some tens of
 nanoseconds a byte and no Python object is made per word.  Chunks are cut between
-documents at about a megabyte, which bounds the scratch memory of a worker; a longer
+documents at about a quarter of a megabyte, which bounds the scratch memory of a worker; a longer
 document is a chunk of its own.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # 5 modulo 8: its powers repeat as late as possible
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -9,8 +9,8 @@
 4. Classes meet on prefix shingles.  Filters: length (t times the larger at most the
    smaller); position (what can follow in both at that place); suffix (a lower bound of
    the symmetric difference from the parities of hashed cells).
-5. First every class of a shingle is compared with one pivot, which joins most of a group of
-   near copies by a star.  Then classes that still are in different components meet again, each
+5. First every class of a shingle is compared with PIVOTS of them, the same for all shingles of
+   a group, which joins most of a group of near copies by stars.  Then classes that still are in different components meet again, each
    pair of them once; pairs that are linked already aren't formed, so a large group
    doesn't cost all its pairs, and no link between components is missed.
 6. A pair that passes is verified once, by the exact size of the intersection.
@@ -37,7 +37,7 @@ from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, ngrams, ragged, wor
 SHINGLE = 5
 SIMILARITY = Fraction(8, 10)
 RANKED = 1 << 18
-CELLS = 128  # parity cells of the suffix filter, as two 64-bit words
+PIVOTS = 6  # classes that every class of a shingle is compared with at first
 
 
 def word_counts(documents: DataFrame, ranked: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
@@ -179,11 +179,14 @@ def _near(t: Fraction) -> str:
     return f"{b} * least(x.n, y.n) >= {a} * greatest(x.n, y.n) AND least(x.n - x.at, y.n - y.at) >= ceil({a} * (x.n + y.n) / {a + b}) - least(x.at, y.at)"
 
 
-def _suffix_filtered(pairs: DataFrame, signs: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs u, v whose parities allow a symmetric difference as small as the similarity needs."""
-    x, y = (signs.select(F.col("id").alias(k), F.struct("n", "p", "q").alias(s)) for k, s in (("u", "x"), ("v", "y")))
+def _small_rest(t: Fraction) -> str:
+    """Suffix filter for x and y: their parities allow a symmetric difference as small as the similarity needs."""
     need = f"ceil({t.numerator} * (x.n + y.n) / {t.numerator + t.denominator})"
-    return pairs.join(x, "u").join(y, "v").where(f"bit_count(x.p ^ y.p) + bit_count(x.q ^ y.q) <= x.n + y.n - 2 * {need}").select("u", "v").distinct()
+    return f"bit_count(x.p ^ y.p) + bit_count(x.q ^ y.q) <= x.n + y.n - 2 * {need}"
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
 
 
 def _links(pairs: DataFrame, documents: DataFrame, shingle: int, t: Fraction) -> DataFrame:
@@ -201,18 +204,19 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     kept = cut(known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("p", "q", "prefix"), "doc_id").alias("s")))
     signs = kept.select("id", "n", "s.p", "s.q")
     posted = kept.select("id", "n", F.posexplode("s.prefix").alias("at", "shingle"))
-    pivots = posted.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("n", "id", "at")).alias("y")).where("many > 1")
-    shared = cut(posted.join(pivots.drop("many"), "shingle"))
-    first = shared.alias("x").where("id <> y.id").where(_near(t)).select(F.greatest("id", "y.id").alias("u"), F.least("id", "y.id").alias("v")).distinct()
-    first = cut(_suffix_filtered(first, signs, t))
+    pivots = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("order"), "id", "n", "at")).alias(f"y{k}") for k in range(PIVOTS)]
+    chosen = posted.groupBy("shingle").agg(F.count("*").alias("many"), *pivots).where("many > 1")
+    shared = cut(posted.join(chosen.select("shingle", F.array_distinct(F.array(*(f"y{k}" for k in range(PIVOTS)))).alias("pivots")), "shingle"))
+    met = shared.select(F.struct("id", "n", "at").alias("x"), F.explode("pivots").alias("y")).where("x.id <> y.id").where(_near(t))
+    x, y = (signs.select(F.col("id").alias(k), F.struct("id", "n", "p", "q").alias(s)) for k, s in (("u", "x"), ("v", "y")))
+    first = cut(_pairs(_pairs(met).join(x, "u").join(y, "v").where(_small_rest(t))))
     links = _links(first, documents, shingle, t)
     near = components(links)
-    placed = shared.drop("y").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = shared.drop("pivots").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = cut(placed.join(mixed.select("shingle"), "shingle", "left_semi"))
-    rest = open_.alias("x").join(open_.alias("y"), "shingle").where("x.component < y.component").where(_near(t))
-    rest = rest.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    rest = cut(_suffix_filtered(rest, signs, t))
+    open_ = cut(placed.join(mixed.select("shingle"), "shingle", "left_semi").join(signs.drop("n"), "id"))
+    rest = open_.alias("x").join(open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.component < y.component AND {_near(t)} AND {_small_rest(t)}"))
+    rest = cut(_pairs(rest).join(first, ["u", "v"], "left_anti"))
     ends = near if rest.isEmpty() else components(links.unionByName(_links(rest, documents, shingle, t)))
     named = kept.select("n", "a", "b", "id").join(ends, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")

@@ -14,6 +14,9 @@ SQL_TYPES = {"int": (4, "int"), "bigint": (-5, "bigint"), "double": (8, "double"
 #: Column types of the open protocol by type.
 OPEN_TYPES = {"int": 3, "bigint": 8, "double": 5, "float": 4, "string": 15, "timestamp": 7, "date": 10, "boolean": 1, "binary": 252}
 
+#: The extension field of canal-json and the type of its watermark record.
+EXTENSION, WATERMARK_TYPE = "_tidb", "TIDB_WATERMARK"
+
 
 def _types(log: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in log.schema["after"].dataType.fields}
@@ -35,14 +38,14 @@ def canal_json(log: DataFrame, keys: Sequence[str], extension: bool = True) -> C
         F.array(data).alias("data"), F.when(F.col("op") == "U", F.array(texts("before", columns))).alias("old"),
     ]
     if extension:
-        fields.append(F.struct(F.col("commit_ts").alias("commitTs")).alias("_tidb"))
+        fields.append(F.struct(F.col("commit_ts").alias("commitTs")).alias(EXTENSION))
     return F.to_json(F.struct(*fields), KEEP_NULLS)
 
 
 def from_canal_json(messages: DataFrame, columns: T.StructType, message: str = "message") -> DataFrame:
     """Changes of canal-json messages; texts are cast to the columns' types, what can't be cast is null."""
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in columns.fields])
-    shape = T.StructType().add("database", "string").add("table", "string").add("type", "string").add("isDdl", "boolean").add("data", T.ArrayType(strings)).add("old", T.ArrayType(strings)).add("_tidb", T.StructType().add("commitTs", "long").add("watermarkTs", "long"))
+    shape = T.StructType().add("database", "string").add("table", "string").add("type", "string").add("isDdl", "boolean").add("data", T.ArrayType(strings)).add("old", T.ArrayType(strings)).add(EXTENSION, T.StructType().add("commitTs", "long").add("watermarkTs", "long"))
     m = messages.withColumn("_m", F.from_json(message, shape)).where("NOT _m.isDdl AND _m.data IS NOT NULL")
 
     def typed(side: Column) -> Column:
@@ -50,7 +53,7 @@ def from_canal_json(messages: DataFrame, columns: T.StructType, message: str = "
 
     data, old = typed(F.col("_m.data")[0]), typed(F.col("_m.old")[0])
     op = F.substring("_m.type", 1, 1)
-    return m.select(F.col("_m.database").alias("schema_name"), F.col("_m.table").alias("table_name"), op.alias("op"), F.col("_m._tidb.commitTs").alias("commit_ts"), F.when(op == "D", data).when(op == "U", old).alias("before"), F.when(op != "D", data).alias("after"))
+    return m.select(F.col("_m.database").alias("schema_name"), F.col("_m.table").alias("table_name"), op.alias("op"), F.col(f"_m.{EXTENSION}.commitTs").alias("commit_ts"), F.when(op == "D", data).when(op == "U", old).alias("before"), F.when(op != "D", data).alias("after"))
 
 
 def open_protocol(log: DataFrame, keys: Sequence[str]) -> tuple[Column, Column]:
@@ -149,7 +152,7 @@ def avro_schema(name: str, columns: T.StructType, keys: Sequence[str] | None = N
 def watermark_message(ts: Column, protocol: str) -> Column:
     """The record by which a protocol tells that everything up to ts has been sent."""
     if protocol == "canal-json":
-        return F.to_json(F.struct(F.lit(0).alias("id"), F.lit("TIDB_WATERMARK").alias("type"), F.lit(False).alias("isDdl"), F.struct(ts.alias("watermarkTs")).alias("_tidb")))
+        return F.to_json(F.struct(F.lit(0).alias("id"), F.lit(WATERMARK_TYPE).alias("type"), F.lit(False).alias("isDdl"), F.struct(ts.alias("watermarkTs")).alias(EXTENSION)))
     if protocol == "open":
         return F.to_json(F.struct(ts.alias("ts"), F.lit(3).alias("t")))
     if protocol == "simple":

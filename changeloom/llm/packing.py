@@ -10,8 +10,8 @@ a table of runs (length, first rank, last rank, sequence, offset) whose size dep
 alone.  Each piece gets its rank among pieces of its length from counts for each part of
 the written table and a count within the part, so no length is gathered in a task.
 
-Words are tokenised once for each worker and remembered, as no token of this vocabulary spans white
-space; the memory holds REMEMBERED words and is emptied when full, which changes no result.
+Words are tokenised once for each worker and remembered, as no token of this vocabulary spans two words;
+the memory holds REMEMBERED words and is emptied when full, which changes no result.
 
 Defined results: null text is empty, so its document is the closing token alone; repeated rows
 are packed as often as they occur; an empty table has no piece; other columns are ignored.
@@ -19,9 +19,12 @@ are packed as often as they occur; an empty table has no piece; other columns ar
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,48 +39,68 @@ CLOSE = 2
 REMEMBERED = 400_000
 
 
+#: How the vocabulary's file splits lower-case text into words, written for texts of the plain alphabet below.
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t\n\r\v\fa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Anything but printable ASCII, white space and composed Latin letters; and what may be a special token.
+_OTHER = re.compile("[^ -~\t\n\r\v\f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
+
+
 class WordEncoder:
-    """Token ids of texts under a tokenizers file whose tokens never span white space."""
+    """Token ids of texts; each word of the plain alphabet is encoded once, other texts are encoded whole.
+
+    New words are encoded together: a word's ids end with the one that closes a word, which tells
+    them apart.  Where that fails, each word is encoded alone.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.ends = [0]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-        for word, e in zip(fresh, encoded, strict=True):
-            at = self.ends[-1]
-            ids = e.ids
-            if at + len(ids) > len(self.ids):
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 500):
+            some = fresh[at : at + 500]
+            (ids,) = self._encoded([" ".join(some)])
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                parts = self._encoded(some)
+                ids, stops = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            first = self.ends[-1]
+            if first + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[at : at + len(ids)] = ids
-            self.number[word] = len(self.ends) - 1
-            self.ends.append(at + len(ids))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
-        split = [t.split() for t in texts]
-        fresh = {w for words in split for w in words if w not in self.number}
+            self.ids[first : first + len(ids)] = ids
+            self.number.update(zip(some, range(len(self.ends) - 1, len(self.ends) - 1 + len(some)), strict=True))
+            self.ends += (first + stops).tolist()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain = [not _OTHER.search(t) for t in texts]
+        split = [_SPLIT.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        known = set(chain.from_iterable(split))
+        fresh = known - self.number.keys()
         if len(self.number) + len(fresh) > REMEMBERED:
             self.forget()
-            fresh = {w for words in split for w in words}
-        if fresh:
-            self._learn(sorted(fresh))
-        number = self.number
-        index = np.array([number[w] for words in split for w in words], np.int64)
+            fresh = known
+        self._learn(list(fresh))
+        index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         ends = np.array(self.ends, np.int64)
-        lengths = ends[index + 1] - ends[index] if len(index) else index
-        ids = self.ids[ragged(ends[index], lengths)] if len(index) else np.zeros(0, np.uint32)
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        words = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(total[words])
+        lengths = ends[index + 1] - ends[index]
+        ids = self.ids[ragged(ends[index], lengths)]
+        total = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] if p else self._encoded([t])[0] for t, p, a, b in zip(texts, plain, total[:-1], total[1:], strict=True)]
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, close: int = CLOSE) -> DataFrame:
@@ -92,14 +115,12 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, clos
             while k < len(ids):
                 some, size = [], 0
                 while k + len(some) < len(ids) and size < 1 << 20:
-                    some.append((texts[k + len(some)].as_py() or "").encode())
+                    some.append(texts[k + len(some)].as_py() or "")
                     size += len(some[-1])
-                tokens, counts = encoder.encode(some)
-                tokens, at, out = tokens.astype("<u4", copy=False), 0, []
-                for j, n in enumerate(counts.tolist()):
-                    own = np.concatenate([tokens[at : at + n], last])
-                    at += n
-                    out += [(ids[k + j], s, len(x := own[s : s + window]), zlib.crc32(x), n + 1) for s in range(0, n + 1, window)]
+                out = []
+                for j, tokens in enumerate(encoder.encode(some)):
+                    own = np.concatenate([tokens.astype("<u4", copy=False), last])
+                    out += [(ids[k + j], s, len(x := own[s : s + window]), zlib.crc32(x), len(own)) for s in range(0, len(own), window)]
                 k += len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [batch.schema.field(0).type, *[pa.int64()] * 4], strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

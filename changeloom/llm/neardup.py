@@ -37,6 +37,9 @@ from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, ngrams, ragged, wor
 SHINGLE = 5
 SIMILARITY = Fraction(8, 10)
 RANKED = 1 << 18
+PARITY = 8  # 64-bit words of parity cells for the suffix filter
+PARITIES = [f"p{k}" for k in range(PARITY)]
+MANY_IDS = 1_000_000  # ids that are broadcast at most
 PIVOTS = 6  # classes that every class of a shingle is compared with at first
 
 
@@ -110,16 +113,16 @@ def _sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _parity(key: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words for each set: bit c is the parity of the members in cell c."""
-    cell = mix(key) >> np.uint64(57)
+def _parity(key: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """64-bit words for each set: bit c of all of them is the parity of the members in cell c."""
+    cell = mix(key) >> np.uint64(55)
     out = []
-    for half in (0, 1):
-        bits = np.where((cell >> np.uint64(6)) == half, np.uint64(1) << (cell & np.uint64(63)), np.uint64(0))
+    for part in range(PARITY):
+        bits = np.where((cell >> np.uint64(6)) == part, np.uint64(1) << (cell & np.uint64(63)), np.uint64(0))
         total = np.zeros(len(key) + 1, np.uint64)
         np.bitwise_xor.accumulate(bits, out=total[1:])
         out.append(total[offsets[1:]] ^ total[offsets[:-1]])
-    return out[0], out[1]
+    return out
 
 
 def _signatures(documents: DataFrame, shingle: int, t: Fraction, table) -> DataFrame:
@@ -132,13 +135,12 @@ def _signatures(documents: DataFrame, shingle: int, t: Fraction, table) -> DataF
                 key, _, offsets = _sets(w, shingle, held.value)
                 n = np.diff(offsets)
                 prefix = np.where(n > 0, n - -(-n * t.numerator // t.denominator) + 1, 0)
-                p, q = _parity(key, offsets)
                 lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)])), pa.array(key[ragged(offsets[:-1], prefix)].astype(np.int64)))
-                longs = [pa.array(x.astype(np.int64)) for x in (n, _sum(mix(key), offsets), _sum(mix(key ^ np.uint64(0x5555555555555555)), offsets), p, q)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, len(n)), *longs, lists.cast(pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "p", "q", "prefix"])
+                longs = [pa.array(x.astype(np.int64)) for x in (n, _sum(mix(key), offsets), _sum(mix(key ^ np.uint64(0x5555555555555555)), offsets), *_parity(key, offsets))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, len(n)), *longs, lists.cast(pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", *PARITIES, "prefix"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, a long, b long, p long, q long, prefix array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, a long, b long, {', '.join(f'{p} long' for p in PARITIES)}, prefix array<long>")
 
 
 def _member_sets(documents: DataFrame, shingle: int) -> DataFrame:
@@ -182,7 +184,7 @@ def _near(t: Fraction) -> str:
 def _small_rest(t: Fraction) -> str:
     """Suffix filter for x and y: their parities allow a symmetric difference as small as the similarity needs."""
     need = f"ceil({t.numerator} * (x.n + y.n) / {t.numerator + t.denominator})"
-    return f"bit_count(x.p ^ y.p) + bit_count(x.q ^ y.q) <= x.n + y.n - 2 * {need}"
+    return " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITIES) + f" <= x.n + y.n - 2 * {need}"
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -192,7 +194,8 @@ def _pairs(met: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, documents: DataFrame, shingle: int, t: Fraction) -> DataFrame:
     """u, v of the pairs that are similar; only texts of documents in a pair are read again and turned into sets."""
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    members = cut(_member_sets(documents.join(ids, "doc_id", "left_semi"), shingle))
+    small = F.broadcast(ids) if ids.count() <= MANY_IDS else ids
+    members = cut(_member_sets(documents.join(small, "doc_id", "left_semi"), shingle))
     return cut(_verified(pairs, members, t))
 
 
@@ -201,18 +204,19 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     t = Fraction(similarity)
     signed = cut(_signatures(documents, shingle, t, word_counts(documents)))
     known = signed.where("n > 0 AND doc_id IS NOT NULL")
-    kept = cut(known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("p", "q", "prefix"), "doc_id").alias("s")))
-    signs = kept.select("id", "n", "s.p", "s.q")
+    kept = cut(known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min_by(F.struct(*PARITIES, "prefix"), "doc_id").alias("s")))
+    signs = kept.select("id", "n", *(f"s.{p}" for p in PARITIES))
     posted = kept.select("id", "n", F.posexplode("s.prefix").alias("at", "shingle"))
     pivots = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("order"), "id", "n", "at")).alias(f"y{k}") for k in range(PIVOTS)]
-    chosen = posted.groupBy("shingle").agg(F.count("*").alias("many"), *pivots).where("many > 1")
-    shared = cut(posted.join(chosen.select("shingle", F.array_distinct(F.array(*(f"y{k}" for k in range(PIVOTS)))).alias("pivots")), "shingle"))
-    met = shared.select(F.struct("id", "n", "at").alias("x"), F.explode("pivots").alias("y")).where("x.id <> y.id").where(_near(t))
-    x, y = (signs.select(F.col("id").alias(k), F.struct("id", "n", "p", "q").alias(s)) for k, s in (("u", "x"), ("v", "y")))
+    many = posted.groupBy("shingle").count().where("count > 1").select("shingle")
+    shared = cut(posted.join(many, "shingle", "left_semi"))
+    chosen = shared.groupBy("shingle").agg(*pivots).select("shingle", F.array_distinct(F.array(*(f"y{k}" for k in range(PIVOTS)))).alias("pivots"))
+    met = shared.join(chosen, "shingle").select(F.struct("id", "n", "at").alias("x"), F.explode("pivots").alias("y")).where("x.id <> y.id").where(_near(t))
+    x, y = (signs.select(F.col("id").alias(k), F.struct("id", "n", *PARITIES).alias(s)) for k, s in (("u", "x"), ("v", "y")))
     first = cut(_pairs(_pairs(met).join(x, "u").join(y, "v").where(_small_rest(t))))
     links = _links(first, documents, shingle, t)
     near = components(links)
-    placed = shared.drop("pivots").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = shared.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = cut(placed.join(mixed.select("shingle"), "shingle", "left_semi").join(signs.drop("n"), "id"))
     rest = open_.alias("x").join(open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.component < y.component AND {_near(t)} AND {_small_rest(t)}"))

@@ -1,0 +1,193 @@
+"""Operators against brute force and on nulls, empties, long texts, ties, repeated rows and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from changeloom.llm import decontaminate, language, licenses, lmscore, neardup, packing, repeats, secrets, topk, toxicity
+
+random.seed(7)
+WORDS = [f"w{k}" for k in range(40)]
+
+
+def prose(n):
+    return " ".join(random.choices(WORDS, k=n))
+
+
+BODY = prose(60)
+ROWS = [(0, BODY), (1, BODY), (2, BODY + " end"), (3, None), (4, ""), (5, "one"), (6, prose(3000)), (7, "x " + BODY[30:]), (None, BODY), (1, BODY), (8, prose(25)), (9, "Ünïé 中文 á")]
+
+
+@pytest.fixture(scope="module")
+def table(docs):
+    return docs(ROWS)
+
+
+def got(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=str)
+
+
+def test_empty_tables(docs, spark):
+    none = docs([])
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.scan(none, bench).count() == neardup.classes(none).count() == repeats.remove(none).count() == secrets.scan(none).count() == licenses.scan(none).count() == 0
+    assert language.learn_and_predict(none, F.lit(False)).count() == 0
+    counts = lmscore.word_counts(none.select("text"))
+    assert lmscore.score(none, counts, lmscore.train(none, counts)).count() == 0
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+    assert toxicity.score(none, toxicity.train(none, spark.createDataFrame([], "doc_id long, grade int"))).count() == 0
+
+
+def test_decontaminate(table, spark):
+    words = BODY.split()
+    bench = spark.createDataFrame([(1, " ".join(words[3:14])), (2, "Ünïé"), (3, None), (None, BODY), (4, "absent words only")], "item_id long, text string")
+    out = got(decontaminate.scan(table, bench), "doc_id", "n_words", "n_hit", "n_items", "contaminated")
+    assert len(out) == len(ROWS)
+    assert (0, 60, 11, 1, False) in out and (9, 3, 1, 1, False) in out and (3, 0, 0, 0, False) in out
+    kept = decontaminate.remove(table, bench)
+    assert kept.columns == table.columns and 0 not in [r[0] for r in kept.collect()] and 6 in [r[0] for r in kept.collect()]
+    spans = {r[0]: r[1] for r in decontaminate.remove(table, bench, "spans").select("doc_id", "text").collect()}
+    assert spans[0] == " ".join(words[:3] + words[14:]) and spans[3] is None
+
+
+@pytest.mark.parametrize(("size", "t"), [(3, Fraction(9, 10)), (5, Fraction(8, 10)), (2, Fraction(1, 2))])
+def test_classes_against_all_pairs(docs, size, t):
+    base = [prose(random.randint(8, 60)).split() for _ in range(12)]
+    rows = []
+    for k in range(90):
+        w = list(random.choice(base))
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(len(w))] = random.choice(WORDS)
+        rows.append((k, " ".join(w)))
+    sets = {}
+    for k, text in rows:
+        w = text.split()
+        sets[k] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+    root = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) * t.denominator >= t.numerator * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got(neardup.classes(docs(rows), size, t), "doc_id", "n_shingles", "component_id") == sorted(((k, len(s), root[k]) for k, s in sets.items()), key=str)
+
+
+def test_classes_edge_rows(table):
+    out = {(r[0], r[1], r[2]) for r in neardup.classes(table).collect()}
+    assert (3, 0, 3) in out and (4, 0, 4) in out and (5, 1, 5) in out and (1, 56, 0) in out and (2, 57, 0) in out
+    assert neardup.classes(table).count() == len(ROWS)
+
+
+def test_top_k_with_ties_and_bad_vectors(spark):
+    rows = [(k, [float(x) for x in np.random.default_rng(k % 50).normal(size=6)]) for k in range(120)]
+    rows += [(200, None), (201, [float("nan")] * 6), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [1.0]), (None, [1.0] * 6), (3, rows[3][1])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 7, block=32)
+    whole = {k: np.floor(64 * np.array(v)) for k, v in rows[:120]}
+    for q in range(0, 120, 20):
+        want = sorted((-int(whole[q] @ v), k) for k, v in whole.items() if k != q)[:7]
+        assert [(-r["score"], r["vec_id"]) for r in out.where(F.col("query_id") == q).orderBy("rank").collect()] == want
+
+
+def test_repeats_against_windows(table, docs):
+    rows = [r for r in ROWS if r[0] is not None] + [(20 + k, prose(10) + " " + BODY[k * 3 : 150 + k * 5] + " " + prose(9)) for k in range(20)]
+    first = {}
+    for k, text in sorted(rows, key=lambda r: r[0]):
+        w = (text or "").split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    want = []
+    for k, text in rows:
+        w = (text or "").split()
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        want.append((k, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    assert got(repeats.remove(docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
+
+
+def test_packing_round_trip(table):
+    from tokenizers import Tokenizer
+
+    from changeloom.llm.queries import tokenizer_path
+
+    path = tokenizer_path()
+    out = packing.pack(table, path, 512).collect()
+    tokenizer = Tokenizer.from_file(path)
+    ids = {k: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for k, t in ROWS}
+    total, ends = {}, {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    assert max(ends.values()) <= 512 and total == {k: len(v) * sum(x == k for x, _ in ROWS) for k, v in ids.items()}
+
+
+def test_plan_uses_every_length_and_pads_little():
+    histogram = {random.randint(1, 200): random.randint(1, 50) for _ in range(200)}  # no piece is over half a window
+    made = packing.plan(histogram, 512)
+    used = {}
+    for shape, times in made:
+        assert sum(shape) <= 512
+        for x in shape:
+            used[x] = used.get(x, 0) + times
+    assert used == histogram
+    assert sum((512 - sum(s)) * n for s, n in made) < 0.05 * sum(x * n for x, n in histogram.items())
+
+
+def test_secrets_against_re(docs):
+    pieces = ["password=", "Token : \"", "api_key='", "AKIA", "ABCDEF0123", "deadbeef", "cafe01", " ", "\n", "é", "x.y", "ghp_" + "a1" * 18, "-----BEGIN RSA PRIVATE KEY-----"]
+    rows = [(k, "".join(random.choices(pieces, k=random.randint(0, 14)))) for k in range(400)] + [(900, None), (901, "a" * 50_000)]
+    out = {r["doc_id"]: r for r in secrets.scan(docs(rows)).collect()}
+    for k, text in rows:
+        spans = []
+        for n, rule in enumerate(secrets.RULES[:3]):
+            found = [m for m in re.finditer(rule.pattern, text or "", re.A | (re.I if rule.fold else 0)) if len(m[rule.group]) >= rule.least]
+            assert out[k][f"n_{rule.kind}"] == len(found)
+            spans += [(m.start(), n, f"{rule.kind}:{m.start()}:{m.end()}") for m in found]
+        assert out[k]["base_sha256"] == hashlib.sha256(",".join(s for _, _, s in sorted(spans)).encode()).hexdigest()
+    clean = secrets.redact(docs([(1, "a password=hunter2222 b"), (2, None)])).select("text").collect()
+    assert {r[0] for r in clean} == {"a [secret] b", None}
+
+
+def test_language(docs):
+    make = {"xx": "abcde", "yy": "vwxyz"}
+    rows = [(k, " ".join("".join(random.choices(make[lang], k=5)) for _ in range(40)), lang, None, None) for k in range(120) for lang in [random.choice(["xx", "yy"])]]
+    rows += [(500, None, "xx", None, None), (501, "123 !", None, None, None), (502, "", "yy", None, None)]
+    out = {r["doc_id"]: r for r in language.learn_and_predict(docs(rows), F.col("doc_id") % 4 == 2).collect()}
+    assert all(out[k]["lang_pred"] == lang for k, _, lang, *_ in rows[:120])
+    assert all((out[k]["lang_pred"], out[k]["score"]) == ("und", 0.0) for k in (500, 501, 502))
+
+
+def test_ordinal_model_orders_grades():
+    rng = np.random.default_rng(1)
+    grade = rng.integers(0, 3, 600)
+    pairs = [(d, w) for d, g in enumerate(grade) for w in [*rng.integers(100, 400, 6), *(range(1, 3) if g > 0 else ()), *(range(3, 5) if g > 1 else ())]]
+    doc, word = (np.array(x) for x in zip(*pairs, strict=True))
+    model = toxicity.fit(doc, word.astype(np.uint64), grade)
+    assert (np.diff(model.bounds) >= 0).all()
+    margin = np.zeros(600)
+    for d, w in pairs:
+        hit = np.flatnonzero(model.words == w)
+        margin[d] += model.weight[hit].sum()
+    means = [model.severity(margin)[grade == g].mean() for g in range(3)]
+    assert means[0] < means[1] < means[2]
+
+
+def test_base_scores_and_proper_probabilities(table):
+    counts = lmscore.word_counts(table.select("text"))
+    model = lmscore.train(table, counts)
+    out = got(lmscore.score(table, counts, model), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    assert len(out) == len(ROWS)
+    tokens = sum(len((t or "").encode().lower().split()) + 1 for _, t in ROWS)
+    assert all(r[0] == r[1] and r[2] == tokens and r[4] < 0 and r[3] < 0 for r in out)
+
+
+def test_licenses(docs):
+    rows = [(1, "text\nReleased under the MIT License.\nmore text here"), (2, "nothing"), (3, None), (4, licenses.TEMPLATES["GPL-3.0"][1].replace(" you ", "\nyou "))]
+    assert got(licenses.scan(docs(rows)), "doc_id", "license") == [(1, "MIT"), (2, None), (3, None), (4, "GPL-3.0")]

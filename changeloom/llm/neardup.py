@@ -39,8 +39,8 @@ SIMILARITY = Fraction(8, 10)
 RANKED = 1 << 18
 PARITY = 8  # 64-bit words of parity cells for the suffix filter
 PARITIES = [f"p{k}" for k in range(PARITY)]
-MANY_IDS = 1_000_000  # ids that are broadcast at most
-PIVOTS = 6  # classes that every class of a shingle is compared with at first
+MANY_IDS = 1_000_000  # ids or pairs that are broadcast at most
+PIVOTS = 4  # classes that every class of a shingle is compared with at first
 
 
 def word_counts(documents: DataFrame, ranked: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,8 @@ def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
     left = members.select(F.col("doc_id").alias("u"), F.col("members").alias("left"))
     right = members.select(F.col("doc_id").alias("v"), F.col("members").alias("right"))
     kind = members.schema["doc_id"].dataType.simpleString()
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(run, f"u {kind}, v {kind}")
+    near = F.broadcast(pairs) if pairs.count() <= MANY_IDS else pairs
+    return left.join(near, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def _near(t: Fraction) -> str:

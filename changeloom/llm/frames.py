@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect plans that nothing refers to any more, which frees their shuffle files on all disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(frame: DataFrame) -> None:
     """Deletes the table behind a frame from cut(), once nothing reads it any more."""
     path, fs = _path(frame.sparkSession, frame._loom_path)

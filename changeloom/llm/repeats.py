@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.frames import cut
+from changeloom.llm.frames import cut, release
 from changeloom.llm.words import GRAPHIC, SAME, Words, mix, ngrams, words
 
 SPAN = 13
@@ -157,6 +157,7 @@ def _marked(documents: DataFrame, span: int, anchor: int) -> DataFrame:
 def remove(documents: DataFrame, span: int = SPAN, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and with texts the kept words as text) for each row of documents."""
     marked = _marked(documents, span, anchor)
+    release(documents.sparkSession)  # the shuffles behind that table are done with
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -175,7 +176,7 @@ def remove(documents: DataFrame, span: int = SPAN, anchor: int = ANCHOR, texts:
 
     shared = marked.where("text IS NOT NULL AND doc_id IS NOT NULL")
     sent = shared.select("doc_id", "text", "anchors").mapInArrow(extend, "key long, doc_id long, kind byte, salt short")
-    gone = _lists(_settle(sent, False), "gone")
+    gone = cut(_lists(_settle(sent, False), "gone"))  # read twice below
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,8 @@
    a group, which joins most of a group of near copies by stars.  Then classes that still are in different components meet again, each
    pair of them once; pairs that are linked already aren't formed, so a large group
    doesn't cost all its pairs, and no link between components is missed.
-6. A pair that passes is verified once, by the exact size of the intersection.
+6. A pair that passes meets the suffix filter again with cells in proportion to the set; what passes
+   is verified once, by the exact size of the intersection.
 
 Defined results: null text, text without words, and rows without an id have an empty set
 or no part in linking; fewer words than a shingle are one shingle; rows that share
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
-from changeloom.llm.frames import cut, drop
+from changeloom.llm.frames import cut, drop, release
 from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, ngrams, ragged, words
 
 SHINGLE = 5
@@ -39,6 +40,7 @@ SIMILARITY = Fraction(8, 10)
 RANKED = 1 << 18
 PARITY = 8  # 64-bit words of parity cells for the suffix filter
 PARITIES = [f"p{k}" for k in range(PARITY)]
+CELLS = 4  # parity cells for each member of a set, at least, before sets are compared
 MANY_IDS = 1_000_000  # ids or pairs that are broadcast at most
 PIVOTS = 4  # classes that every class of a shingle is compared with at first
 
@@ -144,36 +146,81 @@ def _signatures(documents: DataFrame, shingle: int, t: Fraction, table) -> DataF
 
 
 def _member_sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n and the sorted hashes of the set as binary."""
+    """doc_id, n, the parities of CELLS to twice as many cells a member as binary, and the sorted hashes of the set as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(1), GRAPHIC, LOWER):
                 key, _, offsets = _sets(w, shingle, None)
-                raw = [key[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, len(raw)), pa.array(raw, pa.binary())], ["doc_id", "members"])
+                cell = mix(key)
+                raw, bits = [], []
+                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                    raw.append(key[a:b].tobytes())
+                    size = 1 << max(6, (CELLS * int(b - a) - 1).bit_length())
+                    at, n = np.unique(cell[a:b] & np.uint64(size - 1), return_counts=True)
+                    odd = np.zeros(size, bool)
+                    odd[at[n % 2 == 1]] = True
+                    bits.append(np.packbits(odd).tobytes())
+                sizes = pa.array(np.diff(offsets).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, len(raw)), sizes, pa.array(bits, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "n", "cells", "members"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, members binary")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cells binary, members binary")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
-    """u, v of the pairs whose sets reach the similarity."""
+def _differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Cells of odd difference of two sets: the difference has as many members at least. The larger table is folded to the smaller."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _allowed(n: int, t: Fraction) -> int:
+    """Members in which two similar sets of n members together may differ at most."""
+    return n - 2 * -(-t.numerator * n // (t.numerator + t.denominator))
+
+
+def _with_sides(pairs: DataFrame, members: DataFrame, column: str) -> DataFrame:
+    """u, v and x, y of the column for both; each document's column is sent once for v and once for each pair it is u of."""
+    small = F.broadcast if pairs.count() <= MANY_IDS else lambda frame: frame
+    x = members.select(F.col("doc_id").alias("u"), F.struct("n", column).alias("x")).join(small(pairs), "u")
+    y = members.join(small(pairs.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), F.struct("n", column).alias("y"))
+    return x.join(y, "v").select("u", "v", "x.n", F.col("y.n").alias("m"), F.col(f"x.{column}").alias("left"), F.col(f"y.{column}").alias("right"))
+
+
+def _chosen(rows: DataFrame, fine) -> DataFrame:
+    """u, v of the rows for which fine(n, m, left, right)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = np.zeros(batch.num_rows, bool)
+            kept = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                fine[k] = t.denominator * both >= t.numerator * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(fine))
+                kept[k] = fine(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_buffer(), batch.column(5)[k].as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(kept))
+
+    kind = rows.schema["u"].dataType.simpleString()
+    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _possible(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
+    """u, v of the pairs that many cells don't rule out; the tables are a sixteenth to an eighth of the sets."""
 
-    left = members.select(F.col("doc_id").alias("u"), F.col("members").alias("left"))
-    right = members.select(F.col("doc_id").alias("v"), F.col("members").alias("right"))
-    kind = members.schema["doc_id"].dataType.simpleString()
-    near = F.broadcast(pairs) if pairs.count() <= MANY_IDS else pairs
-    return left.join(near, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(run, f"u {kind}, v {kind}")
+    def fine(n: int, m: int, left: pa.Buffer, right: pa.Buffer) -> bool:
+        return _differing(np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)) <= _allowed(n + m, t)
+
+    return _chosen(_with_sides(pairs, members, "cells"), fine)
+
+
+def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
+    """u, v of the pairs whose sets reach the similarity."""
+
+    def fine(n: int, m: int, left: pa.Buffer, right: pa.Buffer) -> bool:
+        both = n + m - len(np.unique(np.concatenate([np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)])))
+        return t.denominator * both >= t.numerator * (n + m - both)
+
+    return _chosen(_with_sides(pairs, members, "members"), fine)
 
 
 def _near(t: Fraction) -> str:
@@ -192,12 +239,31 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
 
 
+def _toward_hubs(pairs: DataFrame) -> DataFrame:
+    """The pairs, v the document that is in more of them (of equal ones the smaller id), so that few documents are a v."""
+    degree = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("d")))
+    small = F.broadcast(degree) if degree.count() <= MANY_IDS else degree
+    both = pairs.join(small.select(F.col("id").alias("u"), F.col("d").alias("du")), "u").join(small.select(F.col("id").alias("v"), F.col("d").alias("dv")), "v")
+    turned = cut(both.select(F.expr("if(du > dv, v, u)").alias("u"), F.expr("if(du > dv, u, v)").alias("v")))
+    drop(degree)
+    return turned
+
+
 def _links(pairs: DataFrame, documents: DataFrame, shingle: int, t: Fraction) -> DataFrame:
     """u, v of the pairs that are similar; only texts of documents in a pair are read again and turned into sets."""
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     small = F.broadcast(ids) if ids.count() <= MANY_IDS else ids
     members = cut(_member_sets(documents.join(small, "doc_id", "left_semi"), shingle))
-    return cut(_verified(pairs, members, t))
+    turned = _toward_hubs(pairs)
+    possible = cut(_possible(turned, members, t))
+    drop(turned)
+    hubs = _toward_hubs(possible)
+    drop(possible)
+    found = cut(_verified(hubs, members, t))
+    for done in (ids, members, hubs):
+        drop(done)
+    release(documents.sparkSession)
+    return found
 
 
 def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -211,10 +277,12 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     pivots = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("order"), "id", "n", "at")).alias(f"y{k}") for k in range(PIVOTS)]
     many = posted.groupBy("shingle").count().where("count > 1").select("shingle")
     shared = cut(posted.join(many, "shingle", "left_semi"))
+    release(documents.sparkSession)
     chosen = shared.groupBy("shingle").agg(*pivots).select("shingle", F.array_distinct(F.array(*(f"y{k}" for k in range(PIVOTS)))).alias("pivots"))
     met = shared.join(chosen, "shingle").select(F.struct("id", "n", "at").alias("x"), F.explode("pivots").alias("y")).where("x.id <> y.id").where(_near(t))
     x, y = (signs.select(F.col("id").alias(k), F.struct("id", "n", *PARITIES).alias(s)) for k, s in (("u", "x"), ("v", "y")))
     first = cut(_pairs(_pairs(met).join(x, "u").join(y, "v").where(_small_rest(t))))
+    release(documents.sparkSession)
     links = _links(first, documents, shingle, t)
     near = components(links)
     placed = shared.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -222,10 +290,17 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     open_ = cut(placed.join(mixed.select("shingle"), "shingle", "left_semi").join(signs.drop("n"), "id"))
     rest = open_.alias("x").join(open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.component < y.component AND {_near(t)} AND {_small_rest(t)}"))
     rest = cut(_pairs(rest).join(first, ["u", "v"], "left_anti"))
+    for done in (shared, open_, first):
+        drop(done)
+    release(documents.sparkSession)
     ends = near if rest.isEmpty() else components(links.unionByName(_links(rest, documents, shingle, t)))
     named = kept.select("n", "a", "b", "id").join(ends, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+    for done in (signed, kept, rest):
+        drop(done)
+    release(documents.sparkSession)
+    return out
 
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:

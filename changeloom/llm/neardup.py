@@ -306,4 +306,5 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """documents, with all columns, without those that link to a smaller id; of repeated ids every row stays or goes together."""
     gone = classes(documents, shingle, similarity).where("component_id < doc_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= MANY_IDS else gone  # else the texts are shuffled, once
     return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)

@@ -43,6 +43,16 @@ def cut(frame: DataFrame) -> DataFrame:
     return out
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared one, as a path that the driver and all workers open themselves."""
+    path, fs = _path(spark, f"{shared_folder(spark)}/{name}")
+    if fs.getScheme() != "file":
+        raise ValueError("spark.checkpoint.dir must be a mounted folder (file://), as workers map files in it")
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toUri().getPath()
+
+
 def release(spark: SparkSession) -> None:
     """Asks the driver to collect plans that nothing refers to any more, which frees their shuffle files on all disks."""
     gc.collect()

@@ -1,18 +1,15 @@
 """Language-model scores: an interpolated modified Kneser-Ney bigram model over whole words.
 
-Counting: word counts of all training texts are summed in Spark.  Words with a share of FREQUENT or more
-of the tokens (two or more of them) are classes of their own; there are 1 / FREQUENT of them at
-most.  Every other word is one class, inside which a word has its discounted count and
-words never seen share the discounted mass.  Counts of all bigrams of classes are summed by hash-dealt
-slots; the counts of counts give the three discounts, and bigrams with a share of FREQUENT or more are kept.
+Counting: word counts of all training texts are summed in Spark, and so are the counts of all bigrams.  Nothing is
+pruned, whatever the size of the input: words and bigrams that occur once are in the model.
 
-Model: P(w | u) = (c(u w) - D) / c(u) + back(u) P(w), where back(u) is what the kept bigrams of u
-leave and P(w) is in proportion to the count of w that they leave, so that the bigrams'
-marginals are the words' counts: with nothing pruned these are the usual continuation counts.
+Model: P(w | u) = (c(u w) - D(c)) / c(u) + back(u) P(w), where back(u) is the mass that the discounts of u's bigrams
+leave, and P(w) = (before(w) - D'(before)) / bigrams + left / (words + 1), with before(w) the number of distinct words
+before w.  D and D' come from the counts of counts.  One more word stands for all that are unseen.
 
-Storage: sorted hash arrays in files of bounded size, sent to executors with the job and
-memory-mapped by their workers.  Words outside the arrays are looked up by a join with the
-whole table of word counts, so base scores are exact however large the vocabulary is.
+Storage: words, bigrams and their counts lie in the shared folder in sorted arrays, dealt by ranges of their hashes
+to files of bounded size whose number grows with the input.  Workers map the files and look up the sorted hashes
+of a chunk file by file.  A bigram's hash is a bijection of the numbers of its two words.
 
 Defined results: null text is empty and holds its end token only; an empty training set gives every token the base
 probability; repeated rows give a result each; a null id is in the training set.
@@ -21,24 +18,22 @@ probability; repeated rows give a result each; a null id is in the training set.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.frames import cut
-from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, words
+from changeloom.llm.frames import cut, shared_path
+from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, unmix, words
 
-FREQUENT = 3e-7
 HELD = 3_000_000
-RARE, END, FIRST = 0, 1, 2  # class numbers; the context before a text is the last one
-_SHIFT = 24
+WORDS_IN_FILE, TOKENS_IN_FILE = 1 << 20, 1 << 22  # on average; files of bigrams are dealt by the number of tokens
+STRIDE = 1 << 21  # word k of file f has the number f * STRIDE + k
+END, FIRST, UNSEEN = 0, 1, 2  # places after the last file: the end of a text, the context before a text, an unseen word
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +41,11 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key, np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(key)).astype(np.int64)
 
 
-def _count(texts: DataFrame, keys_of) -> DataFrame:
-    """key, n as each task has them; keys_of(chunk of words) gives the keys to count."""
+def _count(texts: DataFrame, make: Callable[[], Callable[[Words], np.ndarray]]) -> DataFrame:
+    """key, n as each task has them; make() gives the task's function from a chunk of words to the keys to count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        keys_of, held = make(), []
 
         def sent() -> pa.RecordBatch:
             key, n = _summed(held)
@@ -72,38 +67,98 @@ def _count(texts: DataFrame, keys_of) -> DataFrame:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """key (word hash), n over all texts, as a table in the shared folder."""
-    return cut(_count(texts, lambda w: w.hash.view(np.int64)).groupBy("key").agg(F.sum("n").alias("n")))
+    return cut(_count(texts, lambda: lambda w: w.hash.view(np.int64)).groupBy("key").agg(F.sum("n").alias("n")))
 
 
-def classes(w: Words, known: np.ndarray) -> np.ndarray:
-    """Class of each word: its place among the sorted known hashes, or RARE."""
-    if not len(known):
-        return np.zeros(len(w.hash), np.int64)
-    at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
-    return np.where(known[at] == w.hash, at + FIRST, RARE)
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
 
 
-def bigrams(w: Words, kind: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context << 24 | class for each token, the end of each document included; offsets by document."""
+def _part_of(key: str, parts: int) -> Column:
+    return F.expr(f"CAST(shiftright(shiftrightunsigned({key}, 33) * {parts}L, 31) AS INT)")
+
+
+class _Files:
+    """The arrays of a folder by kind and number, mapped when first read; empty where there is no file."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.held = folder, {}
+
+    def __call__(self, kind: str, k: int) -> np.ndarray:
+        if (kind, k) not in self.held:
+            path = f"{self.folder}/{kind}-{k}.npy"
+            self.held[kind, k] = np.asarray(np.load(path, mmap_mode="r")) if os.path.exists(path) else np.zeros(0, np.uint64)
+        return self.held[kind, k]
+
+    def save(self, kind: str, k: int, values: np.ndarray) -> None:
+        if len(values):
+            path = f"{self.folder}/{kind}-{k}"
+            np.save(made := f"{path}.{uuid.uuid4().hex}.npy", values)
+            os.replace(made, f"{path}.npy")
+
+    def find(self, kind: str, parts: int, hashes: np.ndarray, values: tuple[str, ...]) -> list[np.ndarray]:
+        """For sorted hashes their numbers, or -1 where absent, and their values, or 0."""
+        part = _part(hashes, parts)
+        out = [np.full(len(hashes), -1, np.int64), *(np.zeros(len(hashes), np.int64) for _ in values)]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+            k = int(part[a])
+            own, some = self(kind, k), hashes[a:b]
+            if len(own):
+                at = np.minimum(np.searchsorted(own, some), len(own) - 1)
+                hit = own[at] == some
+                out[0][a:b] = np.where(hit, k * STRIDE + at, -1)
+                for x, value in zip(out[1:], values, strict=True):
+                    x[a:b] = np.where(hit, self(value, k)[at], 0)
+        return out
+
+
+def _small(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """part, sorted keys and sums of n of the rows of a task."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for b in batches:
+        part, key, n = (b.column(k).to_numpy() for k in range(3))
+        for k in np.unique(part).tolist():
+            held.setdefault(k, []).append((key[part == k].view(np.uint64), n[part == k]))
+    for k in sorted(held):
+        key, at = np.unique(np.concatenate([x for x, _ in held[k]]), return_inverse=True)
+        yield k, key, np.bincount(at, np.concatenate([n for _, n in held.pop(k)])).astype(np.int64)
+
+
+def _tokens(w: Words, at: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and word of each token, as places in the chunk's kinds of words with END and FIRST after them; offsets by document."""
     offsets = w.first + np.arange(len(w.first))
-    token = np.full(offsets[-1], END, np.int64)
-    token[np.arange(len(kind)) + w.doc] = kind
+    token = np.full(offsets[-1], kinds + END, np.int64)
+    token[np.arange(len(at)) + w.doc] = at
     before = np.empty(len(token), np.int64)
     before[1:] = token[:-1]
-    before[offsets[:-1]] = begin
-    return before << _SHIFT | token, offsets
+    before[offsets[:-1]] = kinds + FIRST
+    return before, token, offsets
+
+
+def _pairs(number: np.ndarray, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(number[before].astype(np.uint64) << np.uint64(32) | number[token].astype(np.uint64))
 
 
 @dataclass
 class Model:
     """Where the arrays are, and the numbers that are needed beside them."""
 
-    name: str
+    folder: str
+    word_parts: int
+    pair_parts: int
     tokens: int
     types: int
-    rare: int  # tokens of the rare class
-    discount: float  # inside the rare class
-    rare_types: int
+    texts: int
+    discount: np.ndarray  # of bigrams by count
+    lower: np.ndarray  # of the numbers of distinct words before a word
+    bigrams: int  # distinct ones
+    left: float  # mass for the uniform distribution
+    ends: np.ndarray  # of END and FIRST: once, twice, more, before
 
 
 def _discounts(n: dict[int, int]) -> np.ndarray:
@@ -114,101 +169,125 @@ def _discounts(n: dict[int, int]) -> np.ndarray:
     return np.array([0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))])
 
 
-_ARRAYS = ("words", "base", "lower", "back", "pairs", "above")
+def _few(n: np.ndarray) -> np.ndarray:
+    """How many are 1, 2, 3, 4."""
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5]
+
+
+_STATS = ("once", "twice", "more", "before")  # of a word: bigrams after it by count, and distinct words before it
 
 
-def train(documents: DataFrame, counts: DataFrame, frequent: float = FREQUENT) -> Model:
-    """The model of documents, whose word_counts are counts; its arrays are sent to the executors."""
+def train(documents: DataFrame, counts: DataFrame, files: Callable[[int], int] = lambda tokens: -(-tokens // TOKENS_IN_FILE)) -> Model:
+    """The model of documents, whose word_counts are counts; its arrays lie in the shared folder."""
     spark = documents.sparkSession
-    texts = documents.select("text")
     ends = documents.count()
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
+    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, types = row["n"] + ends, row["v"] + (1 if ends else 0)
-    least = max(2, int(np.ceil(frequent * total)))
-    found = counts.where(F.col("n") >= least).toPandas()  # 1 / frequent rows at most
-    known = found["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known, n = known[order], found["n"].to_numpy(np.int64)[order]
-    rare, rare_types = int(total - ends - n.sum()), row["v"] - len(known)
-    discount = row["one"] / (row["one"] + 2 * row["two"]) if row["one"] and row["two"] else 0.5
-    begin = len(known) + FIRST
-    held = spark.sparkContext.broadcast(known)
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        key, n = _summed(parts)
-        few = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
-        keep = n >= least
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([-np.arange(1, 5), key[keep]])), pa.array(np.concatenate([few, n[keep]]))], ["key", "n"])
-
-    sent = _count(texts, lambda w: bigrams(w, classes(w, held.value), begin)[0])
-    made = sent.repartition("key").mapInArrow(reduce, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    key, c = made["key"].to_numpy(np.int64), made["n"].to_numpy(np.int64)
-    cut_off = _discounts({-k: v for k, v in zip(key[key < 0].tolist(), c[key < 0].tolist(), strict=True)})
-    key, c = key[key >= 0], c[key >= 0]
-    order = np.argsort(key)
-    key, c = key[order], c[order]
-    count = np.concatenate([[rare, ends], n, [ends]]).astype(float)  # by class; the last is the context before a text
-    above = (c - cut_off[np.minimum(c, 3)]) / np.maximum(count[key >> _SHIFT], 1)
-    back = np.maximum(1 - np.bincount(key >> _SHIFT, above, len(count)), 1e-6)
-    token = key & ((1 << _SHIFT) - 1)
-    left = np.maximum(count - np.bincount(token, above * count[key >> _SHIFT], len(count)), 0.5)
-    left[-1] = 0
-    base = np.log10((count + 1) / (total + types + 1))
-    values = (known, base, left / left.sum(), back, key, above)
-    name = f"loom-lm-{uuid.uuid4().hex}"
-    folder = os.path.realpath(tempfile.mkdtemp())
-    for kind, array in zip(_ARRAYS, values, strict=True):
-        np.save(f"{folder}/{name}-{kind}.npy", array)
-        spark.sparkContext.addFile(f"{folder}/{name}-{kind}.npy")
-    return Model(name, int(total), int(types), rare, discount, rare_types)
+    word_parts, pair_parts = max(1, -(-row["v"] // WORDS_IN_FILE)), max(1, files(total))
+    last = word_parts * STRIDE
+    if last + STRIDE > 1 << 32:
+        raise ValueError("too many distinct words for numbers of 32 bits")
+    folder = shared_path(spark, f"loom-lm-{uuid.uuid4().hex}")
+
+    def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Files(folder)
+        for k, key, n in _by_part(batches):
+            if len(key) > STRIDE:
+                raise ValueError("too many words in a file")
+            out.save("words", k, key)
+            out.save("count", k, _small(n))
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(key)])], ["part", "n"])
+
+    dealt = counts.select(_part_of("key", word_parts).alias("part"), "key", "n").repartitionById(word_parts, F.col("part"))
+    dealt.mapInArrow(store_words, "part long, n long").collect()
+
+    def keys_of() -> Callable[[Words], np.ndarray]:
+        found = _Files(folder)
+
+        def keys(w: Words) -> np.ndarray:
+            kinds, at = np.unique(w.hash, return_inverse=True)
+            number = np.append(found.find("words", word_parts, kinds, ())[0], [last + END, last + FIRST])
+            before, token, _ = _tokens(w, at, len(kinds))
+            return _pairs(number, before, token).view(np.int64)
+
+        return keys
+
+    def store_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Files(folder)
+        for k, key, n in _by_part(batches):
+            out.save("pairs", k, key)
+            out.save("times", k, _small(n))
+            out.save("few", k, _few(n))
+            pair = unmix(key)
+            context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            del pair, key
+            number, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+            first, second = at[: len(n)], at[len(n) :]
+            sums = [np.bincount(first, x, len(number)).astype(np.int64) for x in (n == 1, n == 2, n > 2)] + [np.bincount(second, minlength=len(number))]
+            yield pa.RecordBatch.from_arrays([pa.array(number // STRIDE, pa.int32()), pa.array(number % STRIDE, pa.int32()), *(pa.array(x, pa.int32()) for x in sums)], ["part", "place", *_STATS])
+
+    def store_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = _Files(folder), {}
+        for b in batches:
+            part, place, *sums = (c.to_numpy() for c in b.columns)
+            for k in np.unique(part).tolist():
+                own = part == k
+                if k not in held:
+                    held[k] = np.zeros((4, len(out("words", k)) if k < word_parts else 2), np.int64)
+                for x, n in zip(held[k], sums, strict=True):
+                    np.add.at(x, place[own], n[own])
+        for k, stats in held.items():
+            for kind, x in zip(_STATS, stats, strict=True):
+                out.save(kind, k, _small(x))
+            out.save("few-before", k, _few(stats[3]))
+            out.save("all-before", k, np.array([stats[3].sum(), np.count_nonzero(stats[3] > 2)]))
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([stats.shape[1]])], ["part", "n"])
+
+    sent = _count(documents.select("text"), keys_of).select(_part_of("key", pair_parts).alias("part"), "key", "n").repartitionById(pair_parts, F.col("part"))
+    partial = sent.mapInArrow(store_pairs, "part int, place int, " + ", ".join(f"{x} int" for x in _STATS))
+    partial.repartitionById(word_parts + 1, F.col("part")).mapInArrow(store_stats, "part long, n long").collect()
+    made = _Files(folder)
+
+    def over(kind: str, parts: int, n: int) -> np.ndarray:
+        return np.sum([np.zeros(n, np.int64), *(x for k in range(parts) if len(x := made(kind, k)))], axis=0)
+
+    few, few_before, (pairs, many) = over("few", pair_parts, 4), over("few-before", word_parts + 1, 4), over("all-before", word_parts + 1, 2)
+    discount, lower = (_discounts(dict(enumerate(x.tolist(), 1))) for x in (few, few_before))
+    left = float(lower[1] * few_before[0] + lower[2] * few_before[1] + lower[3] * many) / max(pairs, 1)
+    stats = np.array([made(kind, word_parts) if ends else np.zeros(2) for kind in _STATS]).T
+    return Model(folder, word_parts, pair_parts, int(total), int(types), int(ends), discount, lower, int(pairs), left, stats)
 
 
 def score(documents: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of documents."""
-    fixed, unseen = model, np.log10(1 / (model.tokens + model.types + 1))
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of documents; the model's files hold the counts."""
+    m, last = model, model.word_parts * STRIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, lower, back, pairs, above = (np.load(SparkFiles.get(f"{fixed.name}-{kind}.npy"), mmap_mode="r") for kind in _ARRAYS)
-        begin = len(known) + FIRST
+        found = _Files(m.folder)
         for batch in batches:
-            rows = batch.column(1).to_numpy()
-            for w in words(batch.column(2), GRAPHIC, LOWER):
+            for w in words(batch.column(1), GRAPHIC, LOWER):
                 n = len(w.first) - 1
-                kind = classes(w, known)
-                key, offsets = bigrams(w, kind, begin)
-                token = key & ((1 << _SHIFT) - 1)
-                p = back[key >> _SHIFT] * lower[token]
-                if len(pairs):
-                    at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                    p = p + np.where(pairs[at] == key, above[at], 0)
-                sums = [np.add.reduceat(x, offsets[:-1]) for x in (np.where(token == RARE, 0, base[token]), np.log10(p), (token != RARE) & ((token != END) | bool(fixed.tokens)))] if n else []
-                own = rows[w.row : w.row + n]
-                head = [batch.column(0).slice(w.row, n), pa.array(own), pa.array(np.zeros(n, bool)), pa.array(mix(own.astype(np.uint64)).view(np.int64)), pa.array(np.diff(offsets)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
-                yield pa.RecordBatch.from_arrays(head, names)
-                rare = np.flatnonzero(kind == RARE)
-                if len(rare):
-                    order = np.lexsort((w.hash[rare], w.doc[rare]))
-                    word, doc = w.hash[rare][order], w.doc[rare][order]
-                    new = np.ones(len(word), bool)
-                    new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
-                    first = np.flatnonzero(new)
-                    m, none = len(first), pa.nulls(len(first), pa.float64())
-                    body = [pa.nulls(m, batch.schema.field(0).type), pa.array(own[doc[first]]), pa.array(np.ones(m, bool)), pa.array(word[first].view(np.int64)), pa.array(np.diff(np.append(first, len(word)))), pa.nulls(m, pa.int64()), none, none]
-                    yield pa.RecordBatch.from_arrays(body, names)
-
-    names = ["doc_id", "row", "rare", "key", "times", "known", "base", "full"]
+                if not n:
+                    continue
+                kinds, at = np.unique(w.hash, return_inverse=True)
+                number, count, *stats = found.find("words", m.word_parts, kinds, ("count", *_STATS))
+                number = np.append(np.where(number < 0, last + UNSEEN, number), [last + END, last + FIRST])
+                count = np.append(count, [m.texts, m.texts])
+                once, twice, more, before = (np.append(x, y) for x, y in zip(stats, m.ends.T, strict=True))
+                base = np.log10((count + 1) / (m.tokens + m.types + 1))
+                back = np.where(count > 0, (m.discount[1] * once + m.discount[2] * twice + m.discount[3] * more) / np.maximum(count, 1), 1)
+                below = (before - m.lower[np.minimum(before, 3).astype(np.int64)]) / max(m.bigrams, 1) + m.left / (m.types + 1)
+                context, token, offsets = _tokens(w, at, len(kinds))
+                if m.tokens:
+                    key, place = np.unique(_pairs(number, context, token), return_inverse=True)
+                    times = found.find("pairs", m.pair_parts, key, ("times",))[1][place]
+                    full = np.log10((times - m.discount[np.minimum(times, 3)]) / np.maximum(count[context], 1) + back[context] * below[token])
+                else:
+                    full = base[token]
+                known, base, full = (np.add.reduceat(x, offsets[:-1]) for x in ((count > 0)[token].astype(np.int64), base[token], full))
+                tokens = np.diff(offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, n), *map(pa.array, (tokens, known, np.full(n, m.tokens), base, full, 10 ** (-full / tokens)))], names)
+
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kind = documents.schema["doc_id"].dataType.simpleString()
-    numbered = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    parts = numbered.mapInArrow(run, f"doc_id {kind}, row long, rare boolean, key long, times long, known long, base double, full double")
-    joined = parts.join(counts.withColumn("rare", F.lit(True)), ["rare", "key"], "left")
-    c = F.coalesce("n", F.lit(0))
-    inside = F.when(c > 0, (c - model.discount) / max(model.rare, 1)).otherwise(model.discount * model.rare_types / model.rare if model.rare_types else 10**unseen)
-    each = joined.select(
-        "doc_id", "row", F.when(~F.col("rare"), F.col("times")).alias("tokens"),
-        F.when(F.col("rare"), F.when(c > 0, F.col("times")).otherwise(0)).otherwise(F.col("known")).alias("known"),
-        F.when(F.col("rare"), F.col("times") * F.log10((c + 1) / (model.tokens + model.types + 1))).otherwise(F.col("base")).alias("base"),
-        F.when(F.col("rare"), F.col("times") * F.log10(inside)).otherwise(F.col("full")).alias("full"),
-    )
-    out = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("full").alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -46,6 +46,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    x = x.astype(np.uint64, copy=True)
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        x ^= x >> np.uint64(shift) ^ x >> np.uint64(2 * shift)
+        x *= np.uint64(pow(factor, -1, 1 << 64))
+    return x
+
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
 _powers: list[np.ndarray] = []
 

@@ -188,6 +188,40 @@ def test_base_scores_and_proper_probabilities(table):
     assert all(r[0] == r[1] and r[2] == tokens and r[4] < 0 and r[3] < 0 for r in out)
 
 
+@pytest.mark.parametrize("size", [40, 4000])
+def test_lm_score_keeps_every_bigram(docs, size):
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"v{int(rng.paretovariate(0.4)) % 3000}" for _ in range(rng.randint(0, 30)))) for k in range(size)]
+    other = [(size, "v1 v2 never-seen v1"), (size + 1, None)]
+    table = docs(rows)
+    counts = lmscore.word_counts(table.select("text"))
+    model = lmscore.train(table, counts, lambda tokens: 5)
+    pair, word, context, before, after = ({} for _ in range(5))
+    for _, text in rows:
+        tokens = ["<s>", *text.split(), "</s>"]
+        for u, w in zip(tokens, tokens[1:], strict=False):
+            pair[u, w], word[w], context[u] = pair.get((u, w), 0) + 1, word.get(w, 0) + 1, context.get(u, 0) + 1
+    for u, w in pair:
+        before[w] = before.get(w, 0) + 1
+        after.setdefault(u, []).append(pair[u, w])
+    d, e = (lmscore._discounts({k: list(x.values()).count(k) for k in (1, 2, 3, 4)}) for x in (pair, before))
+    left = sum(e[min(n, 3)] for n in before.values()) / len(pair)
+
+    def lower(w):
+        return (before.get(w, 0) - e[min(before.get(w, 0), 3)]) / len(pair) + left / (len(word) + 1)
+
+    def p(u, w):
+        c = pair.get((u, w), 0)
+        back = sum(d[min(n, 3)] for n in after[u]) / context[u] if u in context else 1
+        return (c - d[min(c, 3)]) / context.get(u, 1) + back * lower(w)
+
+    assert sum(p("v1", w) for w in [*word, "never-seen"]) == pytest.approx(1)
+    out = {r["doc_id"]: r["score"] for r in lmscore.score(docs(rows + other), counts, model).collect()}
+    for k, text in rows + other:
+        tokens = ["<s>", *(text or "").split(), "</s>"]
+        assert out[k] == pytest.approx(sum(np.log10(p(u, w)) for u, w in zip(tokens, tokens[1:], strict=False)))
+
+
 def test_licenses(docs):
     rows = [(1, "text\nReleased under the MIT License.\nmore text here"), (2, "nothing"), (3, None), (4, licenses.TEMPLATES["GPL-3.0"][1].replace(" you ", "\nyou "))]
     assert got(licenses.scan(docs(rows)), "doc_id", "license") == [(1, "MIT"), (2, None), (3, None), (4, "GPL-3.0")]

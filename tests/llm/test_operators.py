@@ -225,3 +225,27 @@ def test_lm_score_keeps_every_bigram(docs, size):
 def test_licenses(docs):
     rows = [(1, "text\nReleased under the MIT License.\nmore text here"), (2, "nothing"), (3, None), (4, licenses.TEMPLATES["GPL-3.0"][1].replace(" you ", "\nyou "))]
     assert got(licenses.scan(docs(rows)), "doc_id", "license") == [(1, "MIT"), (2, None), (3, None), (4, "GPL-3.0")]
+
+
+def test_licenses_whole_texts_and_notices_within_a_line(docs):
+    whole = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "ISC", "MPL-2.0"]
+    texts = [licenses.TEMPLATES[name][-1].replace("<year>", "2019").replace("<copyright holders>", "Some One") for name in whole]
+    assert texts[0].rstrip().endswith("DEALINGS IN\nTHE SOFTWARE.") and len(texts[5].split()) > 5000
+    rows = list(enumerate(texts)) + [(100 + k, f"{prose(150)} {' '.join(text.split())} {prose(90)}") for k, text in enumerate(texts)]
+    rows += [(200, prose(40) + " Released under the MIT License. " + prose(40)), (201, prose(400))]
+    out = {r["doc_id"]: r for r in licenses.scan(docs(rows)).collect()}
+    for k, name in enumerate(whole):
+        assert out[k]["license"] == out[100 + k]["license"] == name and out[100 + k]["dice"] > 0.9
+    assert (out[200]["license"], out[200]["dice"], out[201]["license"]) == ("MIT", 1.0, None)
+
+
+def test_license_windows_against_brute_force():
+    own, *_ = licenses._compiled((("a", ("w1 w2 w1 w2 w3 w4",)), ("b", ("w5 w6 w7",))))
+    for _ in range(50):
+        text = " ".join(random.choices(WORDS[:9], k=random.randint(2, 40)))
+        w = text.split()
+        found = np.concatenate([licenses.ngrams(x.hash, 2, x.first)[0] for x in licenses.words(licenses.pa.array([text]))])
+        for t in own:
+            n = t.length + 1
+            want = max((licenses.dice(licenses.bigrams(" ".join(w[i : i + n])), t.pairs) for i in range(len(w) - n + 1)), default=0.0) if len(w) > n else 0.0
+            assert licenses.sliding(found, t) == pytest.approx(want)

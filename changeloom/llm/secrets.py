@@ -4,13 +4,14 @@ The rules' regular expressions are parsed into one nondeterministic automaton ov
 (each with its own accepting mark), made deterministic by subset construction, minimised by
 partition refinement and stored as a transition array.  Every byte of every text is read
 once for all rules: the lines of a chunk are streams that advance in step, one array
-lookup for each position.  A line is a stream of its own as no rule matches across a line
-feed, which is checked when rules are compiled.
+lookup for each position.  A line is a stream of its own as nothing that the automaton looks for
+crosses a line feed, which is checked when rules are compiled.
 
 A rule that accepts somewhere in a text is then run with Python's re over that text alone,
 which gives leftmost non-overlapping matches and code point positions.  What a rule compiles
 to accepts within every match that is long enough, so no match is lost; long counted runs
-are cut short there, as subsets of their counters would multiply the states.
+are cut short there, as subsets of their counters would multiply the states.  The match of a private key
+goes on over the lines after the header that the automaton finds, to the end of the key.
 
 Defined results: null text is empty and has no spans; repeated rows give one row each;
 other columns are kept by redact() and ignored by scan().  Empty tables give empty results.
@@ -47,12 +48,21 @@ class Rule:
 
 
 _KEYWORD = """(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?"""
+_PEM = "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"
+_GAP = r"""(?:[\s"'>#|*,]|\\+[nrt])"""  # between the lines of a key: also quoted, commented or escaped ones
+#: To the END of the same label; without one, over the header fields and base64 lines that follow, a short last line included.  No part is tried twice.
+_KEY = (
+    r"-----BEGIN (?P<label>(?:[A-Z]+ )*PRIVATE KEY)-----"
+    r"(?:(?:[^-]++|-(?!----))*+-----END (?P=label)-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Version|Comment):[^\n\\]*+)*+"
+    rf"(?:(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[ \t\r]*(?:\n|\\|[\"']|\Z)))?)?)"
+)
 #: The three base kinds, and public formats of well-known credentials.
 RULES = (
     Rule("assign", _KEYWORD + "([A-Za-z0-9+/_.=-]+)", 2, 6, True, True, _KEYWORD + "([A-Za-z0-9+/_.=-]{6})"),
     Rule("access", "AKIA[A-Z0-9]+", 0, 20, False, True, "AKIA[A-Z0-9]{4}"),
     Rule("hex", "[0-9a-f]+", 0, 24, False, True, "[0-9a-f]{24}"),
-    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", _KEY, automaton=_PEM),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36}", automaton="gh[pousr]_[A-Za-z0-9]{4}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", automaton="xox[abprs]-[A-Za-z0-9-]{2}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", automaton="eyJ[A-Za-z0-9_-]{2}"),
@@ -242,7 +252,7 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
     kept = np.empty(len(some), np.int64)
     kept[rank] = accept[some]
     if small[:, 10].any():
-        raise ValueError("a rule matches a line feed")
+        raise ValueError("the automaton of a rule crosses a line feed")
     return Automaton(small.ravel().astype(np.int32), kept)
 
 

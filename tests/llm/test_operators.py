@@ -249,3 +249,31 @@ def test_license_windows_against_brute_force():
             n = t.length + 1
             want = max((licenses.dice(licenses.bigrams(" ".join(w[i : i + n])), t.pairs) for i in range(len(w) - n + 1)), default=0.0) if len(w) > n else 0.0
             assert licenses.sliding(found, t) == pytest.approx(want)
+
+
+def test_private_keys_go_whole(docs):
+    lines = ["".join(random.choices("ABCDEFGHxyz0189+/", k=64)) for _ in range(24)] + ["Qk9EWQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    keys = [
+        "\n".join([begin, *lines, end]),
+        "\r\n".join([begin, *lines, end]),
+        "\n".join([begin, *fields, *lines, end]),
+        "\\n".join([begin, *lines, end]),
+        "\n".join("  " + x for x in [begin, *lines, end]).strip(),
+        " ".join([begin, *lines, end]),
+        "\n".join([begin, *lines]),
+        "\r\n".join([begin, *lines]),
+        "\n".join([begin, *fields, *lines[:5]]),
+        "\n> ".join([begin, *lines[:9]]),
+        "\\n".join([begin, *lines]),
+        begin,
+    ]
+    after = "\nplain words after it. "
+    rows = [(k, f"before {key}{after}") for k, key in enumerate(keys)] + [(50, keys[0] + " and " + keys[6] + "\n" + keys[2]), (51, (begin + "\n") * 20_000)]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs(rows)).collect()}
+    for k in range(len(keys)):
+        assert out[k] == "before [secret]" + after, k
+    assert out[50] == "[secret] and [secret]\n[secret]" and out[51] == "[secret]\n" * 20_000
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(docs(rows[:1])).collect()}
+    assert f"pem:7:{7 + len(keys[0])}" in spans[0].split(",")

@@ -1,17 +1,20 @@
 """Benchmark decontamination with DataFrame operations only.
 
-A window is eight consecutive words of a benchmark item (all its words, if it has
-fewer).  Windows are hashed and broadcast in blocks of at most BLOCK windows, so what is
-broadcast has a fixed bound however large the benchmark is; every document's words are
-scanned once for each block.  A probe compares the hash first and then the words, so
-a hit is exact.  Scan, generate, probe and partial aggregation are one code-generated
-stage; only hits and one row per document are shuffled, and a frequent passage is
-spread over the documents that hold it.
+A window is eight consecutive words of a benchmark item (all its words, if it has fewer).  What is
+broadcast is a set of hashes: a 64-bit hash, a SHA-256 digest and a length for each distinct window, in blocks
+of at most BLOCK windows, so its bytes have a fixed bound however large the benchmark and however long
+its words are; every document's words are scanned once for each block.  A probe compares the hash, and where that
+is in the set the digest of the words themselves.  Scan, generate, probe and partial aggregation are one
+code-generated stage; only hits and one row per document are shuffled.
+
+Documents carry the digests of the windows that hit them.  The items of a window are looked up
+afterwards, once for each distinct set of windows, so a passage that many items or many documents share is
+neither broadcast with its items nor joined once for each document.
 
 Defined results: null text has no words; null item text or item_id takes no part; items
 that share an id are one item; repeated rows of documents give one result row each; an
-empty benchmark hits nothing.  Other columns of documents are kept by remove(), whatever
-their names.
+empty benchmark hits nothing; a text of any length is one row, with its words as one array.  Other columns of
+documents are kept by remove(), whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.llm.frames import cut, fresh
+
 WINDOW = 8
 BLOCK = 200_000
 _OTHER = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -31,41 +36,52 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def _digest(words: Column) -> Column:
+    """Of a run of words; no word has a space in it."""
+    return F.unhex(F.sha2(F.array_join(words, " ").cast("binary"), 256))
+
+
 def _windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """One row for each distinct window: hash, words and the ids of the items that have it."""
+    """key (hash), digest, span (words) and item of every window of every item, each once."""
     items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("words"))
     long = F.greatest(F.lit(1), F.size("words") - window + 1)
     spread = items.where(F.size("words") > 0).select("item", "words", F.explode(F.sequence(F.lit(1), long)).alias("at"))
-    cut = spread.select("item", F.slice("words", F.col("at"), F.lit(window)).alias("window"))
-    return cut.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64("window").alias("key"), "window", F.size("window").alias("span"), "items")
+    whole = spread.select("item", F.slice("words", F.col("at"), F.lit(window)).alias("window"))
+    return whole.select(F.xxhash64("window").alias("key"), _digest(F.col("window")).alias("digest"), F.size("window").alias("span"), "item").distinct()
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """A row for each document row: doc_id, its copies, n_words, spans (at, span) that hit and the items hit."""
+    """A row for each distinct (doc_id, text): doc_id, text_key, copies, n_words, spans (at, span) that hit and the items hit."""
     found = _windows(benchmark, window)
-    known = found.groupBy("span").count().collect()  # at most one row for each window length
-    spans, total = sorted(r["span"] for r in known) or [window], sum(r["count"] for r in known)
+    known = found.select("key", "digest", "span").distinct()
+    sizes = known.groupBy("span").count().collect()  # at most one row for each window length
+    spans, total = sorted(r["span"] for r in sizes) or [window], sum(r["count"] for r in sizes)
     blocks = max(1, -(-total // block))
     base = documents.select("doc_id", F.xxhash64("text").alias("text_key"), word_array(F.col("text")).alias("words"))
+    hashed = base.withColumn("n_words", F.size("words"))
     out = None
     for k in range(blocks):
-        part = found if blocks == 1 else found.where(F.pmod("key", F.lit(blocks)) == k)
-        rows = base.select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(-1), F.size("words") * len(spans) - 1)).alias("step"))
-        span = F.lit(spans[0]) if len(spans) == 1 else F.element_at(F.array(*map(F.lit, spans)), F.pmod("step", F.lit(len(spans))) + 1)
+        part = known if blocks == 1 else known.where(F.pmod("key", F.lit(blocks)) == k)
+        # step -1 stands for the document itself, each other one for a place and a window length
+        rows = hashed.select("doc_id", "text_key", "words", "n_words", F.explode(F.sequence(F.lit(-1), F.col("n_words") * len(spans) - 1)).alias("step"))
+        long = F.lit(spans[0]) if len(spans) == 1 else F.element_at(F.array(*map(F.lit, spans)), F.pmod("step", F.lit(len(spans))) + 1)
         at = F.when(F.col("step") >= 0, F.floor(F.col("step") / len(spans)).cast("int") + 1).otherwise(0)
-        rows = rows.withColumns({"at": at, "long": span})
+        rows = rows.withColumns({"at": at, "long": long})
         whole = F.slice("words", F.greatest("at", F.lit(1)), F.col("long"))
-        rows = rows.withColumn("probe", F.when((F.col("at") > 0) & (F.col("at") + F.col("long") - 1 <= F.size("words")), F.xxhash64(whole)))
-        joined = rows.join(F.broadcast(part), (F.col("probe") == F.col("key")) & (whole == F.col("window")), "left")
+        rows = rows.withColumn("probe", F.when((F.col("at") > 0) & (F.col("at") + F.col("long") - 1 <= F.col("n_words")), F.xxhash64(whole)))
+        same = _digest(F.slice("words", F.greatest("at", F.lit(1)), F.col("span"))) == F.col("digest")  # with the window's length, so only computed where the hash is equal
+        joined = rows.join(F.broadcast(part), (F.col("probe") == F.col("key")) & same, "left")
         kept = joined.where("at = 0 OR key IS NOT NULL").select(
-            "doc_id", "text_key", F.size("words").alias("n_words"),
-            F.when((F.col("at") == 0) & (F.lit(k) == 0), 1).otherwise(0).alias("row"),
-            F.when(F.col("at") > 0, F.struct("at", "span")).alias("hit"), F.when(F.col("at") > 0, F.col("items")).alias("items"),
+            "doc_id", "text_key", "n_words", F.when((F.col("at") == 0) & (F.lit(k) == 0), 1).otherwise(0).alias("row"),
+            F.when(F.col("at") > 0, F.struct("at", "span")).alias("hit"), F.col("digest"),
         )
         out = kept if out is None else out.unionByName(kept)
-    return out.groupBy("doc_id", "text_key", "n_words").agg(
-        F.sum("row").alias("copies"), F.collect_set("hit").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    each = cut(out.groupBy("doc_id", "text_key", "n_words").agg(F.sum("row").alias("copies"), F.collect_set("hit").alias("spans"), F.array_sort(F.collect_set("digest")).alias("windows")))
+    sets = each.where(F.size("windows") > 0).select("windows").distinct()
+    listed = sets.select("windows", F.explode("windows").alias("digest")).join(found.select("digest", "item"), "digest")
+    items = listed.groupBy("windows").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    clean = each.where(F.size("windows") == 0).withColumn("items", F.array().cast("array<string>"))  # most documents, which have no key to join by
+    return each.where(F.size("windows") > 0).join(items, "windows").unionByName(clean).drop("windows")
 
 
 def covered(spans: Column) -> Column:
@@ -90,11 +106,12 @@ def remove(documents: DataFrame, benchmark: DataFrame, how: str = "documents", m
     documents keep their text as it is.
     """
     found = hits(documents, benchmark, window, block).where(F.size("items") >= min_items)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), covered(F.col("spans")).alias("_at"))
-    keyed = documents.withColumn("_row_key", F.xxhash64("text"))
-    match = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_row_key"] == found["_key"])
+    name, key, at = (fresh(documents.columns, x) for x in ("id", "key", "at"))
+    found = found.select(F.col("doc_id").alias(name), F.col("text_key").alias(key), covered(F.col("spans")).alias(at))
+    match = documents["doc_id"].eqNullSafe(found[name]) & (F.xxhash64(documents["text"]) == found[key])
     if how == "documents":
-        return keyed.join(found, match, "left_anti").drop("_row_key")
-    words = word_array(F.col("text"))
-    rest = F.array_join(F.filter(words, lambda w, k: ~F.array_contains("_at", (k + 1).cast("int"))), " ")
-    return keyed.join(found, match, "left").withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(rest)).select(*documents.columns)
+        return documents.join(found, match, "left_anti")
+    words = word_array(documents["text"])
+    rest = F.array_join(F.filter(words, lambda w, k: ~F.array_contains(found[at], (k + 1).cast("int"))), " ")
+    joined = documents.join(found, match, "left")
+    return joined.select(*(F.when(found[at].isNull(), documents[c]).otherwise(rest).alias(c) if c == "text" else documents[c] for c in documents.columns))

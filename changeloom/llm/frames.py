@@ -5,15 +5,19 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """The session's spark.checkpoint.dir; a folder of its own only where that is unset and the executors are in this process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,12 +34,30 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Has Spark delete the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame's rows from a Parquet table in the shared folder: computed once, kept when executors are lost."""
+    """The frame's rows from a Parquet table in the shared folder: computed once, kept when executors are lost.
+
+    The shuffle files behind it are deleted as soon as the table is written.
+    """
     spark = frame.sparkSession
     bound_batches(spark)
     name = f"{shared_folder(spark)}/loom-{uuid.uuid4().hex}"
-    frame.write.parquet(name)
+    with _cleaned(spark):
+        frame.write.parquet(name)
     path, fs = _path(spark, name)
     fs.deleteOnExit(path)
     out = spark.read.schema(frame.schema).parquet(name)
@@ -65,6 +87,14 @@ def drop(frame: DataFrame) -> None:
     fs.delete(path, True)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """The name, with as many underscores before it as it takes to differ from all that are taken."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,10 @@ the order of its input rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +40,36 @@ def sort_by_commit(log: DataFrame) -> DataFrame:
     return log.orderBy(*commit_order())
 
 
-def number_by_commit(log: DataFrame, partition: Sequence[str], name: str = "position") -> DataFrame:
-    """Position of each change within its partition (a table or span), from 1."""
-    return log.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*commit_order())))
+#: Ranges of commit_ts into which an ordered pass over a table is cut, so that a hot table is many tasks.
+RANGES = 64
+_RANGE = "_commit_range"
+
+
+def commit_key() -> Column:
+    """What commit_order() orders by, as one value."""
+    return F.struct(F.col("commit_ts"), F.col("start_ts"), op_rank().alias("op_rank"), F.col("seq"))
+
+
+def cut_by_commit(log: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """The log with the number of a commit_ts range; the bounds are quantiles, a few numbers, and equal commit_ts share a range."""
+    found = log.select(F.percentile_approx("commit_ts", [k / ranges for k in range(1, ranges)], 2000).alias("q")).first()["q"] if ranges > 1 else None
+    bounds = sorted(set(found or ()))
+    return log.withColumn(_RANGE, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("commit_ts"))) if bounds else F.lit(0))
+
+
+def _before(parts: DataFrame, partition: Sequence[str], amount: Column) -> DataFrame:
+    """parts (a row for each partition and range) with the sum of the amount over the earlier ranges, as _offset."""
+    over = Window.partitionBy(*partition).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_offset", F.coalesce(F.sum(amount).over(over), F.lit(0)))
+
+
+def number_by_commit(log: DataFrame, partition: Sequence[str], name: str = "position", ranges: int = RANGES) -> DataFrame:
+    """Position of each change within its partition (a table or span), from 1: numbered within ranges, after the counts of earlier ones."""
+    cut = cut_by_commit(log, ranges)
+    own = [*partition, _RANGE]
+    offsets = _before(cut.groupBy(*own).count(), partition, F.col("count")).drop("count")
+    inner = F.row_number().over(Window.partitionBy(*own).orderBy(*commit_order()))
+    return cut.withColumn(name, inner).join(offsets, own).withColumn(name, F.col(name) + F.col("_offset")).select(*log.columns, name)
 
 
 def fetch_range(log: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
@@ -50,9 +80,9 @@ def fetch_range(log: DataFrame, low: tuple[int, int], high: tuple[int, int]) ->
 
 
 def mark_txn_ends(log: DataFrame, partition: Sequence[str]) -> DataFrame:
-    """txn_finished on the last change of each (commit_ts, start_ts) of a partition."""
-    follows = F.lead(F.struct("commit_ts", "start_ts")).over(Window.partitionBy(*partition).orderBy(*commit_order()))
-    return log.withColumn("txn_finished", ~F.struct("commit_ts", "start_ts").eqNullSafe(follows))
+    """txn_finished on the last change of each (commit_ts, start_ts) of a partition; a window holds one transaction."""
+    follows = F.lead("seq").over(Window.partitionBy(*partition, "commit_ts", "start_ts").orderBy(*commit_order()))
+    return log.withColumn("txn_finished", follows.isNull())
 
 
 def _halves(log: DataFrame, split: Column) -> DataFrame:
@@ -88,20 +118,22 @@ def identity(keys: Sequence[str], columns: Sequence[str]) -> Column:
 def compact(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One change for each key: I+U is I, U+U is U, anything then D is D (an I then D as well), D then I is a safe-mode I.
 
-    Partial aggregates of each task shrink the log before it is shuffled.  Updates that change the key must be
-    split first.  Without keys the log passes as it is.
+    First and last are by the whole commit key, deletes before updates before inserts within a transaction, so
+    neither the order of seq nor keys that are swapped in one transaction matter.  Partial aggregates of each task
+    shrink the log before it is shuffled.  Updates that change the key must be split first.  Without keys the log
+    passes as it is.
     """
     if not keys:
         return log.withColumn("safe_mode", F.lit(False))
     own = [image(k).alias(k) for k in keys]
     found = log.select(*own, "op", "before", "after", "commit_ts", "start_ts", "seq").groupBy(*keys).agg(
-        F.min_by(F.struct("op", "before"), "seq").alias("first"), F.max_by(F.struct("op", "before", "after", "commit_ts", "start_ts"), "seq").alias("last"),
-        F.max("seq").alias("seq"), F.max(F.col("op") == "D").alias("deleted"), F.count("*").alias("merged"),
+        F.min_by(F.struct("op", "before"), commit_key()).alias("first"), F.max_by(F.struct("op", "before", "after", "commit_ts", "start_ts", "seq"), commit_key()).alias("last"),
+        F.max(F.col("op") == "D").alias("deleted"), F.count("*").alias("merged"),
     )
     gone = F.col("last.op") == "D"
     op = F.when(gone, "D").when(F.col("deleted") | (F.col("first.op") == "I"), "I").otherwise("U")
     before = F.when(gone, F.col("last.before")).when(op == "U", F.col("first.before"))
-    return found.select(*keys, op.alias("op"), (F.col("deleted") & ~gone).alias("safe_mode"), before.alias("before"), F.col("last.after").alias("after"), F.col("last.commit_ts").alias("commit_ts"), F.col("last.start_ts").alias("start_ts"), "seq", "merged")
+    return found.select(*keys, op.alias("op"), (F.col("deleted") & ~gone).alias("safe_mode"), before.alias("before"), F.col("last.after").alias("after"), F.col("last.commit_ts").alias("commit_ts"), F.col("last.start_ts").alias("start_ts"), F.col("last.seq").alias("seq"), "merged")
 
 
 def apply_log(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,25 +175,41 @@ def where_columns(primary: Sequence[str], unique: Sequence[tuple[Sequence[str],
     return every if out is None else out.otherwise(every)
 
 
-def causality_keys(table: Column, indexes: Sequence[Sequence[str]], columns: Sequence[str], any_null: bool, folded: Sequence[str] = ()) -> Column:
-    """Conflict keys of both images: a key for each unique index.
+@dataclass(frozen=True)
+class ForeignKey:
+    """Columns of a child row that hold the key of a row of the parent table."""
+
+    columns: tuple[str, ...]
+    parent: str
+    parent_columns: tuple[str, ...]
+
+
+def causality_keys(
+    table: Column, indexes: Sequence[Sequence[str]], columns: Sequence[str], any_null: bool, folded: Sequence[str] = (), prefixes: Mapping[str, int] | None = None, foreign: Sequence[ForeignKey] = ()
+) -> Column:
+    """Conflict keys of both images: a key for each unique index, and one under the parent table for each foreign key.
 
     any_null: an index is skipped if any of its columns is null; otherwise null columns are left out and it is skipped
-    only if all are.  Columns in folded compare without case.  Without a key, the whole row counts.
+    only if all are.  A foreign key with a null column is always skipped.  Columns in folded compare without case, those in prefixes
+    by their first characters.  Without a key, the whole row counts.
     """
 
-    def of(side: str, names: Sequence[str]) -> Column:
-        values = [F.lower(F.col(f"{side}.{c}").cast("string")) if c in folded else F.col(f"{side}.{c}").cast("string") for c in names]
-        parts = [F.when(v.isNotNull(), F.concat(F.lit(f"{c}="), v)) for c, v in zip(names, values, strict=True)]
-        skip = F.lit(False)
-        for v in values:
-            skip = (skip | v.isNull()) if any_null else skip
-        if not any_null:
-            skip = F.coalesce(*values).isNull()
-        return F.when(F.col(side).isNotNull() & ~skip, F.concat_ws("|", table, *parts))
-
-    keys = F.array_distinct(F.array_compact(F.array(*(of(s, names) for s in ("before", "after") for names in indexes)))) if indexes else F.array().cast("array<string>")
-    whole = F.array_compact(F.array(of("before", columns), of("after", columns)))
+    def value(side: str, name: str) -> Column:
+        out = F.col(f"{side}.{name}").cast("string")
+        out = F.lower(out) if name in folded else out
+        return F.substring(out, 1, prefixes[name]) if prefixes and name in prefixes else out
+
+    def of(side: str, names: Sequence[str], as_table: Column, as_names: Sequence[str], strict: bool) -> Column:
+        values = [value(side, c) for c in names]
+        parts = [F.when(v.isNotNull(), F.concat(F.lit(f"{c}="), v)) for c, v in zip(as_names, values, strict=True)]
+        skip = reduce(or_, (v.isNull() for v in values)) if strict else F.coalesce(*values).isNull()
+        return F.when(F.col(side).isNotNull() & ~skip, F.concat_ws("|", as_table, *parts))
+
+    sides = ("before", "after")
+    found = [of(s, names, table, names, any_null) for s in sides for names in indexes]
+    found += [of(s, f.columns, F.lit(f.parent), f.parent_columns, True) for s in sides for f in foreign]
+    keys = F.array_distinct(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
+    whole = F.array_compact(F.array(*(of(s, columns, table, columns, any_null) for s in sides)))
     return F.when(F.size(keys) > 0, keys).otherwise(whole)
 
 
@@ -171,25 +219,38 @@ def batch_order(log: DataFrame, rows: int) -> DataFrame:
     return log.withColumn("statement_no", F.floor((F.row_number().over(per) - 1) / rows).cast("long")).withColumn("batch_rank", op_rank())
 
 
-def statement_groups(log: DataFrame, partition: Sequence[str], same: Sequence[str]) -> DataFrame:
-    """group_no: consecutive changes that agree in the columns of same share a statement."""
-    over = Window.partitionBy(*partition).orderBy("seq")
-    differs = ~F.struct(*same).eqNullSafe(F.lag(F.struct(*same)).over(over))
-    return log.withColumn("group_no", F.sum(differs.cast("long")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-
+def statement_groups(log: DataFrame, partition: Sequence[str], same: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """group_no: changes that follow each other in commit order and agree in the columns of same share a statement.
 
-def as_of(events: DataFrame, versions: DataFrame, key: str, event_ts: str = "commit_ts", version_ts: str = "ts") -> DataFrame:
+    Groups are counted within commit ranges; the first of a range goes on with the last of the one before if they agree.
+    """
+    cut = cut_by_commit(log, ranges)
+    own = [*partition, _RANGE]
+    over = Window.partitionBy(*own).orderBy(*commit_order())
+    marked = cut.withColumn("_new", (~F.struct(*same).eqNullSafe(F.lag(F.struct(*same)).over(over))).cast("long"))
+    marked = marked.withColumn("group_no", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut.groupBy(*own).agg(F.min_by(F.struct(*same), commit_key()).alias("_first"), F.max_by(F.struct(*same), commit_key()).alias("_last"))
+    parts = parts.join(marked.groupBy(*own).agg(F.sum("_new").alias("_n")), own)
+    goes_on = F.col("_first").eqNullSafe(F.lag("_last").over(Window.partitionBy(*partition).orderBy(_RANGE))) & F.lag("_n").over(Window.partitionBy(*partition).orderBy(_RANGE)).isNotNull()
+    parts = _before(parts.withColumn("_joins", goes_on.cast("long")).withColumn("_net", F.col("_n") - F.col("_joins")), partition, F.col("_net"))
+    out = marked.join(parts.select(*own, "_offset", "_joins"), own)
+    return out.withColumn("group_no", F.col("group_no") + F.col("_offset") - F.col("_joins")).select(*log.columns, "group_no")
+
+
+def as_of(events: DataFrame, versions: DataFrame, key: str, event_ts: str = "commit_ts", version_ts: str = "ts", missing: str = "error") -> DataFrame:
     """Each event with the newest version older than it: a change at a version's own timestamp still sees the one before.
 
-    One shuffle on the key: both sides are merged in timestamp order and the last version is carried forward.
-    Events before any version have a null version.
+    Versions become intervals, and the join is on the key and the interval: versions are few, so Spark broadcasts them where their
+    size allows, and else splits a key with very many events.  Events before any version raise an error, or with missing="null" have a null version.
     """
     payload = [c for c in versions.columns if c != key]
-    left = events.select(F.col(key), F.col(event_ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(*events.columns).alias("_event"), F.lit(None).cast(versions.select(F.struct(*payload)).schema[0].dataType).alias("_version"))
-    right = versions.select(F.col(key), F.col(version_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(events.select(F.struct(*events.columns)).schema[0].dataType).alias("_event"), F.struct(*payload).alias("_version"))
-    over = Window.partitionBy(key).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("_seen", F.last("_version", ignorenulls=True).over(over)).where("_side = 0")
-    return found.select("_event.*", *(F.col(f"_seen.{c}").alias(c if c not in events.columns else f"version_{c}") for c in payload))
+    ends = versions.select(F.col(key).alias("_key"), F.col(version_ts).alias("_from"), F.lead(version_ts).over(Window.partitionBy(key).orderBy(version_ts)).alias("_to"), *(F.col(c).alias(f"_v_{c}") for c in payload))
+    at = events[event_ts]
+    joined = events.join(ends, (events[key] == ends["_key"]) & (ends["_from"] < at) & (ends["_to"].isNull() | (at <= ends["_to"])), "left")
+    if missing == "error":
+        fault = F.raise_error(F.concat(F.lit("no version before "), at.cast("string")))
+        joined = joined.withColumn("_from", F.when(F.col("_from").isNull(), fault.cast(versions.schema[version_ts].dataType)).otherwise(F.col("_from"))).where("_from IS NOT NULL")
+    return joined.select(*(events[c] for c in events.columns), *(F.col(f"_v_{c}").alias(c if c not in events.columns else f"version_{c}") for c in payload))
 
 
 def latest_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Schemas that no feed replicates.
-SYSTEM_SCHEMAS = ("information_schema", "metrics_schema", "inspection_schema", "mysql", "performance_schema", "sys", "tidb_cdc")
+SYSTEM_SCHEMAS = ("information_schema", "metrics_schema", "inspection_schema", "mysql", "performance_schema", "sys", "tidb_cdc", "lightning_task_info", "workload_schema")
+#: Shadow and trash names of the usual online schema change tools.
+SHADOW = "^_(.+)_(?:new|gho)$"
+TRASH = "^_(.+)_(?:ghc|del|old)$"
 #: Names of row events in filter rules.
 DML_EVENTS = ("insert", "update", "delete")
 
@@ -91,32 +96,60 @@ def event_filtered(rules: Sequence[EventRule], event: str = "event", query: str
     return out
 
 
-def _true(image: str, predicate: str, fields: Sequence[str]) -> Column:
-    """The predicate on an image; null, and an image that isn't there, are false."""
-    bound = re.sub(r"(?<![\w.'`])(" + "|".join(map(re.escape, sorted(fields, key=len, reverse=True))) + r")(?!\w|\()", rf"{image}.\1", predicate)
-    return F.coalesce(F.col(image).isNotNull() & F.expr(bound), F.lit(False))
+def _fresh(taken: Sequence[str], name: str) -> str:
+    while name in taken:
+        name = "_" + name
+    return name
 
 
-def expression_filtered(log: DataFrame, insert: str = "false", update_old: str = "false", update_new: str = "false", delete: str = "false") -> Column:
-    """Feed rule: skip an update whose old or new image matches; null keeps the row."""
+def with_predicates(log: DataFrame, predicates: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """log with a boolean column for each (image, predicate); null, and an image that isn't there, are false.
+
+    A predicate is analysed where the fields of its image stand beside the log's columns, which have other names there, so its
+    text is never changed, and an unknown name is an error.
+    """
     fields = log.schema["after"].dataType.names
-    return (
-        F.when(F.col("op") == "I", _true("after", insert, fields))
-        .when(F.col("op") == "D", _true("before", delete, fields))
-        .otherwise(_true("before", update_old, fields) | _true("after", update_new, fields))
-    )
+    away = {c: _fresh(fields, f"_{k}_{c}") for k, c in enumerate([*log.columns, *predicates])}
+    out = log.select(*(F.col(f"`{c}`").alias(away[c]) for c in log.columns))
+    for side in ("before", "after"):
+        own = {name: text for name, (image, text) in predicates.items() if image == side}
+        if own:
+            image = F.col(f"`{away[side]}`")
+            found = [F.coalesce(image.isNotNull() & F.expr(text), F.lit(False)).alias(away[name]) for name, text in own.items()]
+            out = out.select(*out.columns, F.col(f"`{away[side]}`.*")).select(*(F.col(f"`{c}`") for c in out.columns), *found)
+    return out.select(*(F.col(f"`{away[c]}`").alias(c) for c in [*log.columns, *predicates]))
+
+
+def check_predicate(spark: SparkSession, columns: T.StructType, predicate: str) -> str:
+    """Why a predicate can't be used on rows of these columns; empty if it can."""
+    try:
+        kind = spark.createDataFrame([], columns).select(F.expr(predicate).alias("p")).schema["p"].dataType
+    except AnalysisException as e:
+        return str(e).split("\n")[0]
+    except ParseException as e:
+        return str(e).split("\n")[0]
+    return "" if isinstance(kind, (T.BooleanType, T.NumericType)) else f"{kind.simpleString()} is no truth value"
+
+
+def mark_expression(log: DataFrame, insert: str = "false", update_old: str = "false", update_new: str = "false", delete: str = "false", into: str = "skipped") -> DataFrame:
+    """Feed rule: skip an update whose old or new image matches; null keeps the row."""
+    marked = with_predicates(log, {"_insert": ("after", insert), "_delete": ("before", delete), "_old": ("before", update_old), "_new": ("after", update_new)})
+    skip = F.when(F.col("op") == "I", F.col("_insert")).when(F.col("op") == "D", F.col("_delete")).otherwise(F.col("_old") | F.col("_new"))
+    return marked.withColumn(into, skip).select(*log.columns, into)
 
 
-def migration_filtered(log: DataFrame, rules: Sequence[dict[str, str]]) -> Column:
+def mark_migration(log: DataFrame, rules: Sequence[dict[str, str]], into: str = "skipped") -> DataFrame:
     """Migration rule: an update is skipped only if old and new image match, a missing half counting as true; any rule may skip."""
-    fields, out = log.schema["after"].dataType.names, F.lit(False)
-    for rule in rules:
+    sides = {"insert": "after", "delete": "before", "update_old": "before", "update_new": "after"}
+    marked = with_predicates(log, {f"_{k}_{name}": (sides[name], text) for k, rule in enumerate(rules) for name, text in rule.items()})
+    out = F.lit(False)
+    for k, rule in enumerate(rules):
+        one = {name: F.col(f"_{k}_{name}") for name in rule}
         both = F.lit("update_old" in rule or "update_new" in rule)
-        for side, name in (("before", "update_old"), ("after", "update_new")):
-            if name in rule:
-                both = both & _true(side, rule[name], fields)
-        out = out | F.when(F.col("op") == "I", _true("after", rule.get("insert", "false"), fields)).when(F.col("op") == "D", _true("before", rule.get("delete", "false"), fields)).otherwise(both)
-    return out
+        for name in ("update_old", "update_new"):
+            both = both & one.get(name, F.lit(True))
+        out = out | F.when(F.col("op") == "I", one.get("insert", F.lit(False))).when(F.col("op") == "D", one.get("delete", F.lit(False))).otherwise(both)
+    return marked.withColumn(into, out).select(*log.columns, into)
 
 
 def filter_rows(log: DataFrame, tables: TableRules, ignore_start_ts: Sequence[int] = (), events: Sequence[EventRule] = (), **expressions: str) -> DataFrame:
@@ -125,9 +158,16 @@ def filter_rows(log: DataFrame, tables: TableRules, ignore_start_ts: Sequence[in
     keep = tables.column() & ~event_filtered(events)
     if ignore_start_ts:
         keep = ~F.col("start_ts").isin(*ignore_start_ts) & keep
-    if expressions:
-        keep = keep & ~expression_filtered(log, **expressions)
-    return named.where(keep).drop("event")
+    out = named.where(keep).drop("event")
+    return mark_expression(out, **expressions, into="_skipped").where("NOT _skipped").drop("_skipped") if expressions else out
+
+
+def filter_migration(log: DataFrame, tables: TableRules, events: Sequence[EventRule] = (), rules: Sequence[dict[str, str]] = ()) -> DataFrame:
+    """The migration's chain: shadow and trash tables and system schemas, the allow list, event rules (action Error raises), expression rules."""
+    named = log.withColumn("event", F.when(F.col("op") == "I", "insert").when(F.col("op") == "U", "update").otherwise("delete"))
+    helper = F.col("table_name").rlike(SHADOW) | F.col("table_name").rlike(TRASH)
+    out = named.where(~helper & tables.column() & ~event_filtered(events)).drop("event")
+    return mark_migration(out, rules, into="_skipped").where("NOT _skipped").drop("_skipped") if rules else out
 
 
 def filter_ddl(ddl: DataFrame, tables: TableRules, allowed: Sequence[str], events: Sequence[EventRule] = ()) -> DataFrame:

@@ -127,7 +127,7 @@ def partition_id(value: Column, instance: int | None, schema: Column | None, tab
         checked = F.when((whole < 0) | (whole >= 1 << size), F.raise_error(F.lit("number out of range for its bits")).cast("long")).otherwise(whole)
         out = out.bitwiseOR(F.shiftleft(checked, shift))
     own = value.cast("long")
-    return out.bitwiseOR(F.when((own < 0) | (own >= 1 << min(room, 62)), F.raise_error(F.lit("value out of range for its bits")).cast("long")).otherwise(own))
+    return out.bitwiseOR(F.when((own < 0) | (own > (1 << room) - 1), F.raise_error(F.lit("value out of range for its bits")).cast("long")).otherwise(own))
 
 
 def merge_shards(shards: Sequence[DataFrame]) -> DataFrame:

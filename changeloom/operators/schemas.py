@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.operators.filters import SHADOW, TRASH
+
 
 def catalog_versions(ddl: DataFrame) -> DataFrame:
     """Versions of every table from its DDL events: ts, version from 1, next_ts, name and whether the table is dropped."""
@@ -81,16 +83,13 @@ class OptimisticLock:
         return "none", added + changed + dropped
 
 
-#: Shadow and trash names of the two usual online schema change tools.
-_SHADOW = re.compile(r"^_(.+)_(?:gho|new)$")
-_TRASH = re.compile(r"^_(.+)_(?:ghc|del|old)$")
 
 
 def table_kind(name: str) -> tuple[str, str]:
     """(real, shadow or trash, the real table's name)."""
-    if m := _SHADOW.match(name):
+    if m := re.match(SHADOW, name):
         return "shadow", m[1]
-    if m := _TRASH.match(name):
+    if m := re.match(TRASH, name):
         return "trash", m[1]
     return "real", name
 

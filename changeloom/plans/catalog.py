@@ -12,6 +12,7 @@ from changeloom.functions import codecs
 from changeloom.operators import changelog, diff, filters, redo, routing
 from changeloom.plans import fixtures
 from changeloom.plans.fixtures import BASE, LOG
+from changeloom.streaming import feed
 
 FLAGSHIP = "flagship"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,7 @@ VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 _WITH_LOG = f"WITH log AS ({LOG}), base AS ({BASE})"
 _RANK = "CASE op WHEN 'D' THEN 0 WHEN 'U' THEN 1 ELSE 2 END"
 _ORDER = f"commit_ts, start_ts, {_RANK}, seq"
+_AT = f"({_ORDER})"
 _AFTER = "a_custkey AS o_custkey, a_status AS o_orderstatus, a_price AS o_totalprice, a_priority AS o_orderpriority"
 
 
@@ -48,7 +50,7 @@ _IMAGES = "o_orderkey, b_custkey, b_status, b_price, b_priority, a_custkey, a_st
 _KEPT = f"""SELECT * FROM log WHERE table_name <> 'orders_old' AND start_ts NOT IN (1001, 2002)
   AND NOT CASE op WHEN 'I' THEN coalesce(a_price > 400000, false) WHEN 'D' THEN coalesce(b_priority = '5-LOW', false)
     ELSE coalesce(b_price < 2000, false) OR coalesce(a_price > 450000, false) END"""
-_FINAL = """SELECT o_orderkey, arg_max(op, seq) AS op, arg_max(a_custkey, seq) AS a_custkey, arg_max(a_status, seq) AS a_status, arg_max(a_price, seq) AS a_price, arg_max(a_priority, seq) AS a_priority FROM {} GROUP BY o_orderkey"""
+_FINAL = f"""SELECT o_orderkey, arg_max(op, {_AT}) AS op, arg_max(a_custkey, {_AT}) AS a_custkey, arg_max(a_status, {_AT}) AS a_status, arg_max(a_price, {_AT}) AS a_price, arg_max(a_priority, {_AT}) AS a_priority FROM {{}} GROUP BY o_orderkey"""
 _APPLIED = "SELECT * FROM base WHERE o_orderkey NOT IN (SELECT o_orderkey FROM final) UNION ALL SELECT o_orderkey, " + _AFTER + " FROM final WHERE op <> 'D'"
 
 
@@ -99,11 +101,9 @@ def split_at_start(spark, sf_dir):
     return changelog.split_updates(fixtures.log(spark, sf_dir), "start", 2040).select("seq", "op", "commit_ts")
 
 
-_COMPACTED = """SELECT o_orderkey, CASE WHEN arg_max(op, seq) = 'D' THEN 'D' WHEN bool_or(op = 'D') OR arg_min(op, seq) = 'I' THEN 'I' ELSE 'U' END AS op,
-  bool_or(op = 'D') AND arg_max(op, seq) <> 'D' AS safe_mode, max(seq) AS seq, count(*) AS merged, arg_max(a_price, seq) AS a_price FROM log GROUP BY o_orderkey"""
-
-
-@_query(f"{_WITH_LOG} {_COMPACTED.replace('arg_max(a_price, seq) AS a_price', 'CASE WHEN arg_max(op, seq) <> ' + chr(39) + 'D' + chr(39) + ' THEN max_by(a_price, seq) END AS a_price')}")
+@_query(f"""{_WITH_LOG} SELECT o_orderkey, CASE WHEN arg_max(op, {_AT}) = 'D' THEN 'D' WHEN bool_or(op = 'D') OR arg_min(op, {_AT}) = 'I' THEN 'I' ELSE 'U' END AS op,
+  bool_or(op = 'D') AND arg_max(op, {_AT}) <> 'D' AS safe_mode, arg_max(seq, {_AT}) AS seq, count(*) AS merged,
+  CASE WHEN arg_max(op, {_AT}) <> 'D' THEN arg_max(a_price, {_AT}) END AS a_price FROM log GROUP BY o_orderkey""")
 def compaction(spark, sf_dir):
     out = changelog.compact(fixtures.log(spark, sf_dir), KEYS)
     return out.select("o_orderkey", "op", "safe_mode", "seq", "merged", F.col("after.o_totalprice").alias("a_price"))
@@ -143,8 +143,8 @@ def batched_statements(spark, sf_dir):
     return changelog.batch_order(fixtures.log(spark, sf_dir), 8).select("seq", "batch_rank", "statement_no")
 
 
-@_query(f"""{_WITH_LOG}, marked AS (SELECT seq, table_id, CASE WHEN lag(op) OVER (PARTITION BY table_id ORDER BY seq) IS NOT DISTINCT FROM op THEN 0 ELSE 1 END AS new FROM log)
-SELECT seq, CAST(sum(new) OVER (PARTITION BY table_id ORDER BY seq) AS BIGINT) AS group_no FROM marked""")
+@_query(f"""{_WITH_LOG}, marked AS (SELECT seq, table_id, CASE WHEN lag(op) OVER (PARTITION BY table_id ORDER BY {_ORDER}) IS NOT DISTINCT FROM op THEN 0 ELSE 1 END AS new, row_number() OVER (PARTITION BY table_id ORDER BY {_ORDER}) AS rn FROM log)
+SELECT seq, CAST(sum(new) OVER (PARTITION BY table_id ORDER BY rn) AS BIGINT) AS group_no FROM marked""")
 def statement_groups(spark, sf_dir):
     return changelog.statement_groups(fixtures.log(spark, sf_dir), ["table_id"], ["op"]).select("seq", "group_no")
 
@@ -155,7 +155,7 @@ _VERSIONS = "SELECT * FROM (VALUES (0, 900, 1), (0, 2005, 2), (0, 3010, 3), (1,
 @_query(f"""{_WITH_LOG}, versions AS ({_VERSIONS}) SELECT seq, (SELECT max(version) FROM versions v WHERE v.table_id = log.table_id AND v.ts < log.commit_ts) AS version FROM log""")
 def schema_as_of(spark, sf_dir):
     versions = spark.sql(_VERSIONS).select(F.col("table_id").cast("long").alias("table_id"), F.col("ts").cast("long").alias("ts"), "version")
-    return changelog.as_of(fixtures.log(spark, sf_dir).select("seq", "table_id", "commit_ts"), versions, "table_id").select("seq", "version")
+    return changelog.as_of(fixtures.log(spark, sf_dir).select("seq", "table_id", "commit_ts"), versions, "table_id", missing="null").select("seq", "version")
 
 
 @_query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
@@ -174,7 +174,7 @@ def watermark_frontier(spark, sf_dir):
 def migration_expression_filter(spark, sf_dir):
     own = fixtures.log(spark, sf_dir)
     rules = [{"delete": "o_totalprice > 300000", "update_old": "o_totalprice > 100000", "update_new": "o_custkey % 2 = 0"}, {"update_new": "o_totalprice < 5000"}]
-    return own.where(~filters.migration_filtered(own, rules)).select("seq", "op")
+    return filters.mark_migration(own, rules).where("NOT skipped").select("seq", "op")
 
 
 _DDL = """SELECT * FROM (VALUES (1, 'create table', 'shop', 'a', NULL, 'CREATE TABLE a (x INT)'), (2, 'add column', 'shop', 'a', NULL, 'ALTER TABLE a ADD COLUMN y INT'),
@@ -360,9 +360,43 @@ def redo_replay(spark, sf_dir):
     return redo.replay(fixtures.base(spark, sf_dir), own, KEYS)
 
 
-@_query(f"""{_WITH_LOG}, newest AS (SELECT o_orderkey, arg_max(op, seq) AS op, max(seq) AS seq FROM log GROUP BY o_orderkey)
+_NEWEST = f"newest AS (SELECT o_orderkey, arg_max(op, {_AT}) AS op, arg_max(seq, {_AT}) AS seq, arg_max(a_custkey, {_AT}) AS a_custkey, arg_max(a_status, {_AT}) AS a_status, arg_max(a_price, {_AT}) AS a_price FROM log GROUP BY o_orderkey)"
+
+
+@_query(f"""{_WITH_LOG}, {_NEWEST}
 SELECT o_orderkey, seq, CASE WHEN op = 'D' THEN 'not deleted' ELSE 'missing' END AS fault FROM newest WHERE (op = 'D') = (o_orderkey % 10 <> 0)""")
 def validator(spark, sf_dir):
-    from changeloom.streaming.feed import validate
+    return feed.validate(fixtures.log(spark, sf_dir), fixtures.base(spark, sf_dir), KEYS, VALUES, full=False)
+
+
+@_query(f"""{_WITH_LOG}, {_NEWEST}, j AS (SELECT newest.*, base.o_orderkey IS NOT NULL AS there, o_custkey, o_orderstatus, o_totalprice FROM newest LEFT JOIN base USING (o_orderkey))
+SELECT o_orderkey, seq, CASE WHEN op = 'D' THEN 'not deleted' WHEN NOT there THEN 'missing' ELSE 'different' END AS fault FROM j
+WHERE CASE WHEN op = 'D' THEN there WHEN NOT there THEN true ELSE a_custkey <> o_custkey OR a_status <> o_orderstatus OR a_price <> o_totalprice END""")
+def validator_full(spark, sf_dir):
+    return feed.validate(fixtures.log(spark, sf_dir), fixtures.base(spark, sf_dir), KEYS, VALUES)
+
+
+_PAIRS = "SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN rn % 2 = 1 THEN after_key ELSE before_key END AS other FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS rn, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS after_key, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS before_key FROM orders) AS numbered"
+
+
+@_query(f"WITH pairs AS ({_PAIRS}) SELECT p.k AS id, coalesce(CASE WHEN greatest(p.k, p.other) % 3 = 0 THEN q.c END, p.c) AS owner FROM pairs p LEFT JOIN pairs q ON q.k = p.other")
+def swapped_keys(spark, sf_dir):
+    """Two rows exchange their keys in one transaction, and seq runs against the order of commits."""
+    pairs = spark.sql(_PAIRS.replace("FROM orders", "FROM {orders}"), **fixtures.tables(spark, sf_dir, "orders"))
+    base = pairs.select(F.col("k").alias("id"), F.col("c").alias("owner"))
+    row = lambda key: F.struct(F.col(key).alias("id"), F.col("c").alias("owner"))
+    moved = pairs.where("greatest(k, other) % 3 = 0 AND other IS NOT NULL").select(F.lit("U").alias("op"), F.lit(7).alias("commit_ts"), F.lit(6).alias("start_ts"), (-F.col("k")).alias("seq"), row("k").alias("before"), row("other").alias("after"))
+    return changelog.apply_log(base, moved, ["id"])
+
+
+@_query(f"{_WITH_LOG}, final AS ({_FINAL.format('log')}) {_APPLIED}")
+def always_split_then_apply(spark, sf_dir):
+    return changelog.apply_log(fixtures.base(spark, sf_dir), changelog.split_updates(fixtures.log(spark, sf_dir)), KEYS)
+
+
+_LITERAL = "concat('o_orderstatus is ', o_orderstatus) = 'o_orderstatus is F' OR `o_orderpriority` = '1-URGENT' AND o_totalprice > 100000"
+
 
-    return validate(fixtures.log(spark, sf_dir), fixtures.base(spark, sf_dir), KEYS, VALUES, full=False)
+@_query(f"{_WITH_LOG} SELECT seq FROM log WHERE op <> 'I' OR NOT coalesce('o_orderstatus is ' || a_status = 'o_orderstatus is F' OR a_priority = '1-URGENT' AND a_price > 100000, false)")
+def predicate_with_column_names_in_text(spark, sf_dir):
+    return filters.mark_expression(fixtures.log(spark, sf_dir), insert=_LITERAL).where("NOT skipped").select("seq")

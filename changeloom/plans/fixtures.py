@@ -16,14 +16,14 @@ _NEW = "o_custkey AS a_custkey, o_orderstatus AS a_status, o_totalprice AS a_pri
 _NO_OLD = "CAST(NULL AS BIGINT) AS b_custkey, CAST(NULL AS VARCHAR(1)) AS b_status, CAST(NULL AS DOUBLE) AS b_price, CAST(NULL AS VARCHAR(20)) AS b_priority"
 _NO_NEW = "CAST(NULL AS BIGINT) AS a_custkey, CAST(NULL AS VARCHAR(1)) AS a_status, CAST(NULL AS DOUBLE) AS a_price, CAST(NULL AS VARCHAR(20)) AS a_priority"
 
-#: Inserts, updates and deletes with images as flat columns; seq is unique and grows with commit_ts for each key.
+#: Inserts, updates and deletes with images as flat columns; seq is unique and falls as commit_ts grows, so that nothing can rely on it.
 LOG = f"""SELECT *, commit_ts - 5 - o_orderkey % 3 AS start_ts, o_orderkey % 4 AS table_id, 'shop' AS schema_name,
   CASE WHEN o_orderkey % 4 = 3 THEN 'orders_old' ELSE 'orders' END AS table_name FROM (
-  SELECT o_orderkey, 'I' AS op, 1000 + o_orderkey % 97 AS commit_ts, o_orderkey * 4 AS seq, {_NO_OLD}, {_NEW} FROM orders WHERE o_orderkey % 10 = 0
-  UNION ALL SELECT o_orderkey, 'U', 2000 + o_orderkey % 89, o_orderkey * 4 + 1, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+  SELECT o_orderkey, 'I' AS op, 1000 + o_orderkey % 97 AS commit_ts, o_orderkey * 4 + 3 AS seq, {_NO_OLD}, {_NEW} FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT o_orderkey, 'U', 2000 + o_orderkey % 89, o_orderkey * 4 + 2, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
     CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END, 'U', o_totalprice + 1, o_orderpriority FROM orders WHERE o_orderkey % 7 = 0
-  UNION ALL SELECT o_orderkey, 'D', 3000 + o_orderkey % 83, o_orderkey * 4 + 2, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, {_NO_NEW} FROM orders WHERE o_orderkey % 11 = 0
-  UNION ALL SELECT o_orderkey, 'I', 4000 + o_orderkey % 79, o_orderkey * 4 + 3, {_NO_OLD}, o_custkey, 'R', o_totalprice + 2, o_orderpriority FROM orders WHERE o_orderkey % 33 = 0
+  UNION ALL SELECT o_orderkey, 'D', 3000 + o_orderkey % 83, o_orderkey * 4 + 1, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, {_NO_NEW} FROM orders WHERE o_orderkey % 11 = 0
+  UNION ALL SELECT o_orderkey, 'I', 4000 + o_orderkey % 79, o_orderkey * 4, {_NO_OLD}, o_custkey, 'R', o_totalprice + 2, o_orderpriority FROM orders WHERE o_orderkey % 33 = 0
 ) AS changes"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from changeloom.operators.changelog import apply_log, commit_order
+from changeloom.operators.changelog import apply_log, commit_key, commit_order
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files: int = 16, kind: str = "parquet") -> DataFrame:
@@ -27,35 +27,123 @@ def counts_by_window(stream: DataFrame, ts: str, late: str, width: str, group: S
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *group).agg(F.count("*").alias("n"))
 
 
+def _versions(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the complete tables name-<number> of a folder, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [str(x.getPath().getName()) for x in fs.listStatus(path)]
+    return sorted(int(x.removeprefix(f"{name}-")) for x in found if x.startswith(f"{name}-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS")))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 class ResolvedEmitter:
-    """Holds changes until a resolved timestamp covers them, then emits them in commit order; the timestamp never goes back.
+    """Holds changes until every span is resolved up to them, then emits them in commit order; a span's mark never goes back.
 
-    State is a table in the folder: rows that are still held.  For use in foreachBatch; a batch that is run
-    again after a failure rewrites the same state and output.
+    All state is in the folder: marks-n has the largest resolved timestamp of each span after batch n, held-n the rows
+    that wait.  Batch n starts from the state of the batch before it, so it can run again after a failure, in this or
+    another process, and gives the same rows.  A span that has sent rows but no mark holds everything back.
+    For use in foreachBatch.
     """
 
     def __init__(self, folder: str, emit: Callable[[DataFrame, int], None], spans: Sequence[str] = ("table_id",)) -> None:
-        self.folder, self.emit, self.spans, self.resolved, self.last = folder, emit, spans, 0, None
+        self.folder, self.emit, self.spans = folder, emit, list(spans)
+
+    def _state(self, spark: SparkSession, name: str, before: int) -> DataFrame | None:
+        known = [k for k in _versions(spark, self.folder, name) if k < before]
+        return spark.read.parquet(f"{self.folder}/{name}-{known[-1]}") if known else None
+
+    def resolved(self, spark: SparkSession, before: int) -> int:
+        """What all spans had been resolved to when batch `before` began."""
+        marks = self._state(spark, "marks", before)
+        return (marks.agg(F.min("ts").alias("ts")).first()["ts"] or 0) if marks is not None else 0
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        marks = batch.where("kind = 'resolved'").groupBy(*self.spans).agg(F.max("commit_ts").alias("ts")).agg(F.min("ts").alias("ts")).first()["ts"]
-        rows = batch.where("kind = 'row'")
-        if self.last is not None:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(self.last))
-        self.resolved = max(self.resolved, marks or 0)
-        held = f"{self.folder}/held-{number}"
-        rows.where(F.col("commit_ts") > self.resolved).write.mode("overwrite").parquet(held)
-        self.emit(rows.where(F.col("commit_ts") <= self.resolved).orderBy(*commit_order()), number)
-        self.last = held
-
-
-def apply_stream(stream: DataFrame, table: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Applies each batch of changes to a table kept as versions in a folder: version n is written whole, then named current."""
+        told = batch.select(*self.spans, F.when(F.col("kind") == "resolved", F.col("commit_ts")).otherwise(F.lit(0)).cast("long").alias("ts"))
+        marks, rows = self._state(spark, "marks", number), batch.where("kind = 'row'")
+        told = told if marks is None else told.unionByName(marks.select(*self.spans, "ts"))
+        told.groupBy(*self.spans).agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{self.folder}/marks-{number}")
+        held = self._state(spark, "held", number)
+        if held is not None:
+            rows = rows.unionByName(held)
+        resolved = self.resolved(spark, number + 1)
+        rows.where(F.col("commit_ts") > resolved).write.mode("overwrite").parquet(f"{self.folder}/held-{number}")
+        self.emit(rows.where(F.col("commit_ts") <= resolved).orderBy(*commit_order()), number)
+        for name in ("marks", "held"):
+            for old in _versions(spark, self.folder, name):
+                if old < number - 2:
+                    _delete(spark, f"{self.folder}/{name}-{old}")
+
+
+class Progress:
+    """What of a table has been flushed: rows have positions, resolved marks come between them.
+
+    The checkpoint is the largest mark all of whose earlier rows are flushed; flushes may be told in any order.
+    """
+
+    def __init__(self) -> None:
+        self.open: dict[int, None] = {}  # rows not flushed, in order
+        self.marks: list[tuple[int, int]] = []  # (rows added before it, resolved ts)
+        self.added, self.checkpoint = 0, 0
+
+    def add(self) -> int:
+        self.open[self.added] = None
+        self.added += 1
+        return self.added - 1
+
+    def resolve(self, ts: int) -> None:
+        if not self.marks or ts > self.marks[-1][1]:
+            self.marks.append((self.added, ts))
+
+    def flushed(self, position: int) -> None:
+        self.open.pop(position, None)
+
+    def advance(self) -> int:
+        first = next(iter(self.open), self.added)
+        while self.marks and self.marks[0][0] <= first:
+            self.checkpoint = max(self.checkpoint, self.marks.pop(0)[1])
+        return self.checkpoint
+
+
+def checkpoints(marks: DataFrame, rows: DataFrame, partition: Sequence[str]) -> DataFrame:
+    """checkpoint of each partition: its largest resolved mark (partition, ts) below every row (partition, commit_ts, flushed) that isn't flushed.
+
+    Both sides are aggregates, so no partition is gathered in a task.
+    """
+    own = list(partition)
+    least = rows.where("NOT flushed").groupBy(*own).agg(F.min("commit_ts").alias("_open"))
+    fine = marks.join(least, own, "left").where("_open IS NULL OR ts < _open")
+    known = marks.select(*own).distinct()
+    return known.join(fine.groupBy(*own).agg(F.max("ts").alias("checkpoint")), own, "left").fillna({"checkpoint": 0})
+
+
+def current_version(spark: SparkSession, table: str) -> int:
+    """The newest complete version of a table kept as folders v-n."""
+    found = _versions(spark, table, "v")
+    if not found:
+        raise ValueError(f"{table} has no complete version")
+    return found[-1]
+
+
+def apply_stream(stream: DataFrame, table: str, keys: Sequence[str], checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """Applies each batch of changes to a table kept as versions in a folder.
+
+    Batch n makes version v-(n + 1) from v-n and is complete with its _SUCCESS file, which makes it current; running it again
+    writes the same version.  The newest `keep` versions stay.
+    """
+
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.schema(batch.schema["after"].dataType).parquet(f"{table}/v{number}")
-        apply_log(base, batch, keys).write.mode("overwrite").parquet(f"{table}/v{number + 1}")
+        base = spark.read.schema(batch.schema["after"].dataType).parquet(f"{table}/v-{number}")
+        apply_log(base, batch, keys).write.mode("overwrite").parquet(f"{table}/v-{number + 1}")
+        for old in _versions(spark, table, "v"):
+            if old <= number + 1 - keep:
+                _delete(spark, f"{table}/v-{old}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -79,7 +167,7 @@ def syncpoints(progress: DataFrame, interval: int) -> DataFrame:
 def validate(pending: DataFrame, target: DataFrame, keys: Sequence[str], values: Sequence[str], full: bool = True) -> DataFrame:
     """The newest pending change of each key that the target doesn't show: row missing, row not deleted, or (full) values differ."""
     image = F.coalesce("after", "before")
-    newest = pending.select(*(image[k].alias(k) for k in keys), "op", "after", "seq").groupBy(*keys).agg(F.max_by(F.struct("op", "after", "seq"), "seq").alias("c"))
+    newest = pending.select(*(image[k].alias(k) for k in keys), "op", "after", "commit_ts", "start_ts", "seq").groupBy(*keys).agg(F.max_by(F.struct("op", "after", "seq"), commit_key()).alias("c"))
     there = target.select(*keys, F.struct(*values).alias("_t"))
     joined = newest.join(there, list(keys), "left")
     differs = F.lit(False)

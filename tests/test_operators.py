@@ -25,7 +25,7 @@ def test_compaction_then_apply_equals_apply(spark):
 def test_compaction_of_each_pair(spark):
     one = "struct<k:long,v:long>"
     rows = [(k, op, n, None if op == "I" else (k, n), None if op == "D" else (k, n + 10)) for k, ops in enumerate(["IU", "UU", "ID", "UD", "DI", "I", "IUDI"]) for n, op in enumerate(ops)]
-    log = spark.createDataFrame([(op, 1, 1, k * 10 + n, b, a) for k, op, n, b, a in rows], f"op string, commit_ts long, start_ts long, seq long, before {one}, after {one}")
+    log = spark.createDataFrame([(op, n, n, k * 10 - n, b, a) for k, op, n, b, a in rows], f"op string, commit_ts long, start_ts long, seq long, before {one}, after {one}")
     out = {r["k"]: (r["op"], r["safe_mode"]) for r in changelog.compact(log, ["k"]).collect()}
     assert out == {0: ("I", False), 1: ("U", False), 2: ("D", False), 3: ("D", False), 4: ("I", True), 5: ("I", False), 6: ("I", True)}
 
@@ -33,9 +33,9 @@ def test_compaction_of_each_pair(spark):
 def test_null_predicate_keeps_the_row(spark):
     one = "struct<k:long,v:long>"
     log = spark.createDataFrame([("I", None, (1, None)), ("I", None, (2, 5)), ("U", (3, None), (3, 9)), ("D", (4, 7), None)], f"op string, before {one}, after {one}")
-    skipped = log.where(filters.expression_filtered(log, insert="v > 1", update_old="v > 1", update_new="v > 100", delete="v > 1"))
+    skipped = filters.mark_expression(log, insert="v > 1", update_old="v > 1", update_new="v > 100", delete="v > 1").where("skipped")
     assert sorted(r["op"] for r in skipped.collect()) == ["D", "I"]
-    both = log.where(filters.migration_filtered(log, [{"update_old": "v is null", "update_new": "v = 9"}]))
+    both = filters.mark_migration(log, [{"update_old": "v is null", "update_new": "v = 9"}]).where("skipped")
     assert [r["op"] for r in both.collect()] == ["U"]
 
 
@@ -103,14 +103,32 @@ def test_change_files_and_sinks(spark, tmp_path):
     assert files.expired(["x/date=2024-01-01/a", "x/date=2024-02-01/a"], "2024-02-02", 7) == ["x/date=2024-01-01/a"]
 
 
-def test_resolved_emitter_orders_and_holds(spark, tmp_path):
-    schema = "kind string, table_id long, op string, commit_ts long, start_ts long, seq long"
-    batches = [[("row", 1, "I", 5, 4, 1), ("row", 1, "D", 3, 2, 2), ("resolved", 1, None, 3, None, None)], [("row", 1, "U", 4, 3, 3), ("resolved", 1, None, 9, None, None)], [("resolved", 1, None, 2, None, None)]]
-    out = []
-    emitter = feed.ResolvedEmitter(str(tmp_path), lambda rows, n: out.append([r["seq"] for r in rows.collect()]))
-    for n, rows in enumerate(batches):
+def _emit_all(spark, folder, batches, first=0, restart=True):
+    schema, out, emitter = "kind string, table_id long, op string, commit_ts long, start_ts long, seq long", [], None
+    for n, rows in enumerate(batches, first):
+        if emitter is None or restart:  # nothing may live in the object
+            emitter = feed.ResolvedEmitter(folder, lambda rows, n: out.append([r["seq"] for r in rows.collect()]))
         emitter(spark.createDataFrame(rows, schema), n)
-    assert out == [[2], [3, 1], []] and emitter.resolved == 9
+    return out
+
+
+@pytest.mark.parametrize("restart", [False, True])
+def test_resolved_emitter_orders_and_holds(spark, tmp_path, restart):
+    batches = [[("row", 1, "I", 5, 4, 1), ("row", 1, "D", 3, 2, 2), ("resolved", 1, None, 3, None, None)], [("row", 1, "U", 4, 3, 3), ("resolved", 1, None, 9, None, None)], [("resolved", 1, None, 2, None, None)]]
+    assert _emit_all(spark, str(tmp_path), batches, restart=restart) == [[2], [3, 1], []]
+    assert feed.ResolvedEmitter(str(tmp_path), None).resolved(spark, 3) == 9
+
+
+def test_resolved_emitter_waits_for_the_slowest_table(spark, tmp_path):
+    batches = [[("resolved", 1, None, 2, None, None), ("resolved", 2, None, 3, None, None)], [("row", 2, "I", 8, 7, 1), ("row", 1, "I", 3, 2, 2), ("resolved", 1, None, 9, None, None)], [("resolved", 2, None, 8, None, None)]]
+    assert _emit_all(spark, str(tmp_path), batches) == [[], [2], [1]]
+    again = _emit_all(spark, str(tmp_path), batches[1:], first=1)  # the last two batches run once more, as after a failure
+    assert again == [[2], [1]]
+
+
+def test_resolved_emitter_holds_rows_of_a_table_without_a_mark(spark, tmp_path):
+    batches = [[("row", 2, "I", 1, 1, 1), ("resolved", 1, None, 9, None, None)], [("resolved", 2, None, 1, None, None)]]
+    assert _emit_all(spark, str(tmp_path), batches) == [[], [1]]
 
 
 def test_stream_without_repeats(spark, tmp_path):

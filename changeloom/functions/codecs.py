@@ -69,7 +69,9 @@ def open_protocol(log: DataFrame, keys: Sequence[str]) -> tuple[Column, Column]:
     return key, value
 
 
-def _csv_cell(value: Column, kind: str, quote: str, delimiter: str, null: str) -> Column:
+def _csv_cell(value: Column, kind: str, quote: str, delimiter: str, null: str, binary: str = "base64") -> Column:
+    if kind == "binary":
+        return F.coalesce(F.base64(value) if binary == "base64" else F.lower(F.hex(value)), F.lit(null))
     text = value.cast("string")
     if kind in ("string", "timestamp", "date"):
         if quote:
@@ -80,8 +82,11 @@ def _csv_cell(value: Column, kind: str, quote: str, delimiter: str, null: str) -
     return F.coalesce(text, F.lit(null))
 
 
-def csv_lines(log: DataFrame, delimiter: str = ",", quote: str = '"', null: str = "\\N", include_commit_ts: bool = True, old_value: bool = False) -> DataFrame:
-    """One line for each change: op, table, schema, commit_ts, (is_update,) columns; with old_value an update is a D and an I line."""
+def csv_lines(log: DataFrame, delimiter: str = ",", quote: str = '"', null: str = "\\N", include_commit_ts: bool = True, old_value: bool = False, binary: str = "base64") -> DataFrame:
+    """One line for each change: op, table, schema, commit_ts, (is_update,) columns; with old_value an update is a D and an I line.
+
+    binary: bytes as base64 or hex.
+    """
     columns = _types(log)
     own = log
     if old_value:
@@ -95,7 +100,7 @@ def csv_lines(log: DataFrame, delimiter: str = ",", quote: str = '"', null: str
         head.append(F.col("commit_ts").cast("string"))
     if old_value:
         head.append((F.col("op") == "U").cast("string"))
-    cells = [_csv_cell(F.col(f"_p.image.{c}"), t, quote, delimiter, null) for c, t in columns.items()]
+    cells = [_csv_cell(F.col(f"_p.image.{c}"), t, quote, delimiter, null, binary) for c, t in columns.items()]
     return own.withColumn("line_no", F.col("_p.n")).withColumn("line", F.concat_ws(delimiter, *head, *cells)).drop("_p")
 
 
@@ -131,11 +136,13 @@ def simple_schema(schemas: DataFrame) -> Column:
 
 
 def maxwell(log: DataFrame) -> Column:
-    """{database, table, type, ts, data, old}; old holds what an update changed."""
+    """{database, table, type, ts, data, old}; old names what an update changed, also where that was null."""
     names = list(_types(log))
-    changed = F.struct(*(F.when(~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")), F.col(f"before.{c}")).alias(c) for c in names))
+    cells = [F.to_json(F.struct(F.col(f"before.{c}").alias(c)), KEEP_NULLS) for c in names]
+    changed = [F.when(~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")), F.substr(j, F.lit(2), F.length(j) - 2)) for c, j in zip(names, cells, strict=True)]
     kind = F.when(F.col("op") == "I", "insert").when(F.col("op") == "U", "update").otherwise("delete")
-    return F.to_json(F.struct(F.col("schema_name").alias("database"), F.col("table_name").alias("table"), kind.alias("type"), F.floor(F.shiftright("commit_ts", 18) / 1000).alias("ts"), F.coalesce("after", "before").alias("data"), F.when(F.col("op") == "U", changed).alias("old")))
+    head = F.to_json(F.struct(F.col("schema_name").alias("database"), F.col("table_name").alias("table"), kind.alias("type"), F.floor(F.shiftright("commit_ts", 18) / 1000).alias("ts"), F.coalesce("after", "before").alias("data")), KEEP_NULLS)
+    return F.when(F.col("op") == "U", F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"old":{'), F.concat_ws(",", *changed), F.lit("}}"))).otherwise(head)
 
 
 def avro_schema(name: str, columns: T.StructType, keys: Sequence[str] | None = None) -> dict:

@@ -145,6 +145,11 @@ def apply_log(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame
     return joined.select(*(F.when(F.col("_op").isNull(), F.col(c)).otherwise(F.col(f"_after.{c}")).alias(c) for c in columns))
 
 
+def snapshot(base: DataFrame, log: DataFrame, keys: Sequence[str], ts: int) -> DataFrame:
+    """The table as it was at a timestamp, changes of that timestamp included."""
+    return apply_log(base, log.where(F.col("commit_ts") <= ts), keys)
+
+
 def insert_or_replace(log: DataFrame, safe_mode: bool, replicating_ts: Column) -> DataFrame:
     """statement for inserts: INSERT outside safe mode when committed after replicating began, else REPLACE."""
     plain = F.lit(not safe_mode) & (F.col("commit_ts") > replicating_ts)
@@ -213,9 +218,9 @@ def causality_keys(
     return F.when(F.size(keys) > 0, keys).otherwise(whole)
 
 
-def batch_order(log: DataFrame, rows: int) -> DataFrame:
-    """Statement batches of a transaction: deletes, then updates, then inserts, rows at most in each."""
-    per = Window.partitionBy("commit_ts", "start_ts", "op").orderBy("seq")
+def batch_order(log: DataFrame, rows: int, within: Sequence[str] = ()) -> DataFrame:
+    """Statement batches of a transaction (and columns within it): deletes, then updates, then inserts, rows at most in each."""
+    per = Window.partitionBy(*within, "commit_ts", "start_ts", "op").orderBy("seq")
     return log.withColumn("statement_no", F.floor((F.row_number().over(per) - 1) / rows).cast("long")).withColumn("batch_rank", op_rank())
 
 

@@ -80,6 +80,17 @@ def dispatch(log: DataFrame, rules: Sequence[DispatchRule], default_topic: str,
     return log.withColumn("topic", at).withColumn("partition", to)
 
 
+def ddl_topic(ddl: DataFrame, rules: Sequence[DispatchRule], default_topic: str) -> DataFrame:
+    """topic of each DDL, by the name before a rename; a DDL without a table goes to the default topic."""
+    name = F.when(F.lower("type").like("rename table%"), F.coalesce("pre_table_name", "table_name")).otherwise(F.col("table_name"))
+    schema, out = F.col("schema_name"), F.lit(default_topic)
+    for rule in reversed(rules):
+        left, _, right = rule.tables.partition(".")
+        hit = F.lower(schema).rlike(f"^{glob_regex(left.lower())}$") & F.lower(name).rlike(f"^{glob_regex((right or '*').lower())}$")
+        out = F.when(hit, topic(rule.topic, schema, name)).otherwise(out)
+    return ddl.withColumn("topic", F.when(F.coalesce(name, F.lit("")) == "", F.lit(default_topic)).otherwise(out))
+
+
 @dataclass(frozen=True)
 class RouteRule:
     """Source tables of a pattern go to a target; without a target table the name stays."""

@@ -233,7 +233,17 @@ def topic_dispatch(spark, sf_dir):
     return routing.dispatch(fixtures.log(spark, sf_dir), rules, "main", 5, KEYS).select("seq", "topic", "partition")
 
 
-@_query()
+#: A CRC-32 in SQL: the table of its 256 remainders, and a sum over the bytes of an ASCII text.
+CRC = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t)"
+
+
+def crc32(text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+@_query(f"""{_WITH_LOG}, {CRC}, base_hash AS (SELECT table_name, {crc32("'shop' || table_name")} AS h FROM (SELECT DISTINCT table_name FROM log), crc)
+SELECT seq, CASE WHEN table_name = 'orders' THEN 'shop.orders' ELSE 'rest' END AS topic,
+  CAST(xor(h, CASE WHEN table_name = 'orders' THEN {crc32("'o_orderkey' || o_orderkey")} ELSE {crc32("'o_custkey' || coalesce(a_custkey, b_custkey)")} END) % 16 AS INTEGER) AS partition FROM log JOIN base_hash USING (table_name), crc""")
 def index_value_dispatch(spark, sf_dir):
     rules = [routing.DispatchRule("shop.orders", "{schema}.{table}", "index-value"), routing.DispatchRule("*.*", "rest", "columns", ("o_custkey",))]
     return routing.dispatch(fixtures.log(spark, sf_dir), rules, "main", 16, KEYS).select("seq", "topic", "partition")
@@ -343,9 +353,30 @@ def open_protocol_keys(spark, sf_dir):
     return own.select("seq", codecs.open_protocol(own, KEYS)[0].alias("key"))
 
 
-@_query()
+def narrow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with three columns in each image."""
+    return filters.select_columns(fixtures.log(spark, sf_dir), [filters.ColumnSelector("*.*", ("o_orderkey", "o_custkey", "o_orderstatus"))], "shop", "orders", KEYS)
+
+
+def _open_side(p: str) -> str:
+    return f"""'{{"o_custkey":{{"t":8,"f":0,"v":' || {p}_custkey || '}},"o_orderkey":{{"t":8,"h":true,"f":11,"v":' || o_orderkey || '}},"o_orderstatus":{{"t":15,"f":0,"v":"' || {p}_status || '"}}}}'"""
+
+
+def _row_side(p: str, quote: str) -> str:
+    return f"""'{{"o_orderkey":{quote}' || o_orderkey || '{quote},"o_custkey":{quote}' || {p}_custkey || '{quote},"o_orderstatus":"' || {p}_status || '"}}'"""
+
+
+_SIMPLE_HEAD = """'{"version":1,"database":"shop","table":"' || table_name || '","tableID":' || table_id || ',"type":"' || CASE op WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END || '","commitTs":' || commit_ts || ',"schemaVersion":1,'"""
+_CHANGED_CELLS = """concat_ws(',', CASE WHEN b_custkey <> a_custkey THEN '"o_custkey":' || b_custkey END, CASE WHEN b_status <> a_status THEN '"o_orderstatus":"' || b_status || '"' END)"""
+
+
+@_query(f"""{_WITH_LOG} SELECT seq,
+  CASE op WHEN 'I' THEN '{{"u":' || {_open_side('a')} || '}}' WHEN 'U' THEN '{{"u":' || {_open_side('a')} || ',"p":' || {_open_side('b')} || '}}' ELSE '{{"d":' || {_open_side('b')} || '}}' END AS open,
+  {_SIMPLE_HEAD} || CASE op WHEN 'I' THEN '"data":' || {_row_side('a', '"')} WHEN 'U' THEN '"data":' || {_row_side('a', '"')} || ',"old":' || {_row_side('b', '"')} ELSE '"old":' || {_row_side('b', '"')} END || '}}' AS simple,
+  '{{"database":"shop","table":"' || table_name || '","type":"' || CASE op WHEN 'I' THEN 'insert' WHEN 'U' THEN 'update' ELSE 'delete' END || '","ts":0,"data":' || CASE op WHEN 'D' THEN {_row_side('b', '')} ELSE {_row_side('a', '')} END
+    || CASE op WHEN 'U' THEN ',"old":{{' || {_CHANGED_CELLS} || '}}}}' ELSE '}}' END AS maxwell FROM log""")
 def other_codecs(spark, sf_dir):
-    own = fixtures.log(spark, sf_dir)
+    own = narrow_log(spark, sf_dir)
     return own.select("seq", codecs.open_protocol(own, KEYS)[1].alias("open"), codecs.simple(own).alias("simple"), codecs.maxwell(own).alias("maxwell"))
 
 

@@ -41,6 +41,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def ddl_jobs(jobs: DataFrame, resolved: int) -> DataFrame:
+    """DDL jobs that are still to come: finished after the resolved timestamp, with a schema version, each once."""
+    return jobs.where((F.col("finished_ts") > resolved) & (F.col("schema_version") != 0)).distinct().orderBy("finished_ts")
+
+
 class ResolvedEmitter:
     """Holds changes until every span is resolved up to them, then emits them in commit order; a span's mark never goes back.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,20 +53,23 @@ def combine_checksums(parts: DataFrame, group: Sequence[str]) -> DataFrame:
     return parts.groupBy(*group).agg(F.sum("row_count").alias("row_count"), unsigned(F.bit_xor(signed)).alias("checksum"))
 
 
-def chunk_bounds(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+def chunk_bounds(rows: DataFrame, keys: Sequence[str], size: int, ranges: int = 256) -> DataFrame:
     """Chunks of size rows in key order: chunk number, inclusive upper bound, exclusive lower bound.
 
-    Ranks come from a range-partitioned sort and counts for each part, so no task sees all keys.
+    Rows are cut into ranges of the first key by quantiles (a few numbers) and numbered within them, after the counts of
+    the ranges before, so no task sees all keys and no rank depends on how partitions came about.
     """
-    parted = rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    counts = parted.groupBy("_part").count()
-    before = counts.select("_part", F.expr("sum(count) OVER (ORDER BY _part) - count").alias("_before"))  # one row for each part
-    order = ", ".join(keys)
+    first, order = keys[0], ", ".join(keys)
+    numeric = isinstance(rows.schema[first].dataType, T.NumericType)
+    found = rows.select(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 5000).alias("q")).first()["q"] if numeric else None
+    bounds = sorted(set(found or ()))
+    own = rows.select(*keys).withColumn("_part", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(first))) if bounds else F.lit(0))
+    counts = own.groupBy("_part").count()
+    before = counts.select("_part", F.expr("sum(count) OVER (ORDER BY _part) - count").alias("_before"))  # one row for each range
     rank = F.col("_before") + F.expr(f"row_number() OVER (PARTITION BY _part ORDER BY {order})")
-    ranked = parted.join(F.broadcast(before), "_part").withColumn("_rank", rank)
-    bounds = ranked.groupBy(F.floor((F.col("_rank") - 1) / size).alias("chunk")).agg(F.max(F.struct(*keys)).alias("upper"), F.count("*").alias("n"))
-    lower = F.expr("lag(upper) OVER (ORDER BY chunk)")
-    return bounds.withColumn("lower", lower)
+    ranked = own.join(F.broadcast(before), "_part").withColumn("_rank", rank)
+    found = ranked.groupBy(F.floor((F.col("_rank") - 1) / size).alias("chunk")).agg(F.max(F.struct(*keys)).alias("upper"), F.count("*").alias("n"))
+    return found.withColumn("lower", F.expr("lag(upper) OVER (ORDER BY chunk)"))
 
 
 def range_predicate(keys: Sequence[str], lower: Sequence[object] | None, upper: Sequence[object] | None) -> Column:
@@ -92,15 +95,106 @@ def range_predicate(keys: Sequence[str], lower: Sequence[object] | None, upper:
     return out
 
 
-def random_bounds(rows: DataFrame, key: str, chunks: int) -> list[object]:
-    """Bounds of about equal chunks from the key's quantiles; one chunk has none."""
-    return [] if chunks <= 1 else rows.select(F.percentile_approx(key, [k / chunks for k in range(1, chunks)]).alias("q")).first()["q"]
+def random_bounds(rows: DataFrame, keys: Sequence[str], size: int, indexed: bool = True, seed: int = 0) -> list[tuple]:
+    """Bounds of ceil(rows / size) chunks: that many keys less one, drawn by hash and sorted; one chunk without an index.
+
+    Only the bounds reach the driver; the draw is a top-k, which every task cuts down before it sends.
+    """
+    chunks = -(-rows.count() // size) if indexed else 1
+    if chunks <= 1:
+        return []
+    drawn = rows.select(*keys).distinct().orderBy(F.xxhash64(F.lit(seed), *keys)).limit(chunks - 1)
+    return sorted(tuple(r) for r in drawn.collect())
 
 
 def bucket_bounds(histogram: DataFrame, size: int) -> DataFrame:
-    """Neighbouring histogram buckets (upper, n) merged into chunks of size rows at least."""
+    """Neighbouring histogram buckets (upper, n) merged into chunks of size rows at least, and in how many parts each is to be cut.
+
+    A chunk that is a single bucket of more than twice the size is cut into parts of about the size.
+    """
     total = F.expr("sum(n) OVER (ORDER BY upper)")
-    return histogram.withColumn("chunk", F.floor((total - F.col("n")) / size).cast("long")).groupBy("chunk").agg(F.max("upper").alias("upper"), F.sum("n").alias("n"))
+    merged = histogram.withColumn("chunk", F.floor((total - F.col("n")) / size).cast("long")).groupBy("chunk").agg(F.max("upper").alias("upper"), F.sum("n").alias("n"), F.count("*").alias("_buckets"))
+    return merged.withColumn("parts", F.when((F.col("_buckets") == 1) & (F.col("n") > 2 * size), F.ceil(F.col("n") / size)).otherwise(1).cast("long")).drop("_buckets")
+
+
+def splitter(strategy: str, histogram: bool, indexed: bool) -> str:
+    """Which splitter cuts a table: bucket where statistics are there, else limit or random as configured, one chunk without an index."""
+    if strategy not in ("auto", "limit", "random"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    if not indexed:
+        return "single"
+    if strategy == "auto":
+        return "bucket" if histogram else "random"
+    return strategy
+
+
+def collated(keys: Sequence[str], collation: str = "UTF8_LCASE") -> list[Column]:
+    """Columns to order by under a collation."""
+    return [F.collate(k, collation) for k in keys]
+
+
+def json_equal(left: Column, right: Column) -> Column:
+    """Whether two JSON texts are the same value whatever the order of their keys; null agrees with null, invalid text with itself."""
+    a, b = F.try_parse_json(left), F.try_parse_json(right)
+    return F.when(left.isNull() | right.isNull(), left.isNull() & right.isNull()).when(a.isNull() | b.isNull(), left == right).otherwise(F.to_json(a) == F.to_json(b))
+
+
+def bad_range(source: DataFrame, target: DataFrame, key: str, values: Sequence[str], low: int, high: int, least: int = 1000) -> tuple[int, int]:
+    """The smallest range of an integer key, by halving at the median, that holds all differences within low..high.
+
+    Halving goes on while just one half differs and more than `least` rows are in it; each step is one aggregate of both tables.
+    """
+    text = F.to_json(F.struct(*(F.col(c) for c in [key, *values])), {"ignoreNullFields": "false"})
+    own = [rows.select(F.col(key).alias("k"), row_hash(text).alias("h")) for rows in (source, target)]
+    while True:
+        inside = [rows.where(F.col("k").between(low, high)) for rows in own]
+        n, middle = inside[0].agg(F.count("*"), F.percentile_approx("k", 0.5)).first()
+        if n <= least or middle is None or middle >= high:
+            return low, high
+        sums = [dict((r["upper"], (r["n"], r["x"])) for r in rows.groupBy((F.col("k") > middle).alias("upper")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).collect()) for rows in inside]
+        differs = [sums[0].get(half) != sums[1].get(half) for half in (False, True)]
+        if differs[0] == differs[1]:
+            return low, high
+        low, high = (low, middle) if differs[0] else (middle + 1, high)
+
+
+def global_checksums(tables: Mapping[str, tuple[DataFrame | None, DataFrame | None]], text: Callable[[DataFrame], Column], done: Sequence[str] = ()) -> DataFrame:
+    """table_name, source_rows, target_rows, same of each table that isn't done; if one side lacks a table only counts are compared."""
+    out = None
+    for name, (source, target) in sorted(tables.items()):
+        if name in done:
+            continue
+        sides = [checksums(rows, text(rows)) if rows is not None else None for rows in (source, target)]
+        some = next(s for s in sides if s is not None)
+        a, b = (s if s is not None else some.select(F.lit(0).cast("long").alias("row_count"), F.lit(None).cast("decimal(20,0)").alias("checksum")) for s in sides)
+        both = a.crossJoin(b.withColumnsRenamed({"row_count": "_n", "checksum": "_x"}))  # one row and one row
+        alike = F.col("row_count") == F.col("_n")
+        if None not in (source, target):
+            alike = alike & F.col("checksum").eqNullSafe(F.col("_x"))
+        row = both.select(F.lit(name).alias("table_name"), F.col("row_count").alias("source_rows"), F.col("_n").alias("target_rows"), alike.alias("same"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def resume_after(states: DataFrame) -> DataFrame:
+    """For each table the number of the last chunk of its finished beginning (table_name, chunk from 0, state), or -1."""
+    least = states.where("state NOT IN ('success', 'failed', 'ignored')").groupBy("table_name").agg(F.min("chunk").alias("_open"))
+    last = states.groupBy("table_name").agg(F.max("chunk").alias("_last"))
+    return last.join(least, "table_name", "left").select("table_name", F.coalesce(F.col("_open") - 1, "_last").alias("resume_after"))
+
+
+def report(states: DataFrame) -> DataFrame:
+    """Per table: rows of both sides over all chunks, rows to add and delete over failed ones, and whether any chunk failed."""
+    failed = F.col("state") == "failed"
+    return states.groupBy("table_name").agg(
+        F.sum("up_count").alias("up_count"), F.sum("down_count").alias("down_count"), F.sum(F.when(failed, F.col("rows_add")).otherwise(0)).alias("rows_add"),
+        F.sum(F.when(failed, F.col("rows_delete")).otherwise(0)).alias("rows_delete"), F.when(F.max(failed), "fail").otherwise("pass").alias("result"),
+    )
+
+
+def total_size(sizes: DataFrame, size: str = "size", group: Sequence[str] = ()) -> DataFrame:
+    """Bytes of tables, summed."""
+    return sizes.groupBy(*group).agg(F.coalesce(F.sum(size), F.lit(0)).alias("total_size"))
 
 
 def equal(left: Column, right: Column, kind: T.DataType, tolerance: float = 1e-6) -> Column:

@@ -124,10 +124,8 @@ def check_predicate(spark: SparkSession, columns: T.StructType, predicate: str)
     """Why a predicate can't be used on rows of these columns; empty if it can."""
     try:
         kind = spark.createDataFrame([], columns).select(F.expr(predicate).alias("p")).schema["p"].dataType
-    except AnalysisException as e:
-        return str(e).split("\n")[0]
-    except ParseException as e:
-        return str(e).split("\n")[0]
+    except (AnalysisException, ParseException) as e:
+        return str(e).strip().split("\n")[0]
     return "" if isinstance(kind, (T.BooleanType, T.NumericType)) else f"{kind.simpleString()} is no truth value"
 
 
@@ -242,6 +240,41 @@ def fill_defaults(rows: DataFrame, defaults: dict[str, object], not_null: Sequen
     return rows.withColumns(out)
 
 
+def mount(raw: DataFrame, columns: T.StructType, defaults: dict[str, object] | None = None, not_null: Sequence[str] = ()) -> DataFrame:
+    """Raw entries (value and old_value as JSON text, null where absent) as changes with typed images; the operation is told by which are there.
+
+    Columns that a text lacks get the origin default or, where null isn't allowed, the zero of their type.
+    """
+
+    def typed(side: str) -> Column:
+        return F.when(F.col(side).isNotNull(), F.from_json(side, columns))
+
+    out = raw.withColumns({"after": typed("value"), "before": typed("old_value")}).where("value IS NOT NULL OR old_value IS NOT NULL")
+    if defaults or not_null:
+        zero = {"string": "", "boolean": False}
+
+        def filled(side: str, f: T.StructField) -> Column:
+            own = F.col(f"{side}.{f.name}")
+            if f.name in (defaults or {}):
+                own = F.coalesce(own, F.lit(defaults[f.name]).cast(f.dataType))
+            return F.coalesce(own, F.lit(zero.get(f.dataType.simpleString(), 0)).cast(f.dataType)) if f.name in not_null else own
+
+        out = out.withColumns({side: F.when(F.col(side).isNotNull(), F.struct(*(filled(side, f).alias(f.name) for f in columns.fields))) for side in ("before", "after")})
+    op = F.when(F.col("before").isNull(), "I").when(F.col("after").isNull(), "D").otherwise("U")
+    return out.withColumn("op", op).drop("value", "old_value")
+
+
+def unsigned(value: Column, bits: int) -> Column:
+    """A signed number of so many bits as the unsigned one of the same bits."""
+    wide = value.cast("decimal(20,0)")
+    return F.when(value < 0, wide + F.lit(1 << bits).cast("decimal(20,0)")).otherwise(wide)
+
+
+def charset(value: Column, name: str) -> Column:
+    """Bytes in a character set as text."""
+    return F.decode(value, name)
+
+
 def finite(value: Column) -> Column:
     """Not-a-number and infinities as zero."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)

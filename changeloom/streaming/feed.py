@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
 from changeloom.operators.changelog import apply_log, commit_key, commit_order
@@ -169,6 +170,83 @@ def syncpoints(progress: DataFrame, interval: int) -> DataFrame:
     return progress.withColumn("primary_ts", cut).where("primary_ts > 0").groupBy("changefeed", "primary_ts").agg(F.min("resolved_ts").alias("secondary_ts"))
 
 
+def syncpoint_store(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Syncpoints (cluster, changefeed, primary_ts, secondary_ts, created_at): of those with one primary_ts of a feed the stored one stays, else the first created."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.groupBy("cluster", "changefeed", "primary_ts").agg(F.min_by(F.struct("secondary_ts", "created_at"), F.struct("_new", "created_at", "secondary_ts")).alias("r")).select("cluster", "changefeed", "primary_ts", "r.*")
+
+
+def expired_syncpoints(stored: DataFrame, now: int, retention: int) -> DataFrame:
+    """Syncpoints that were created longer than the retention ago."""
+    return stored.where(F.col("created_at") < F.lit(now - retention))
+
+
+class ChangeFeed(DataSource):
+    """The source "changes": a folder with a JSON-lines file for each span, read in parallel by span.
+
+    Options: path, start_ts (rows at or below it are left out).  Register with spark.dataSource.register(ChangeFeed).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "changes"
+
+    def schema(self) -> str:
+        return "span string, kind string, table_id long, op string, commit_ts long, start_ts long, value string, old_value string"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _ChangeReader(self.options, schema.names)
+
+
+class _ChangeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], names: list[str]) -> None:
+        self.path, self.start, self.names = options["path"], int(options.get("start_ts", 0)), names
+
+    def partitions(self) -> list[InputPartition]:
+        import os
+
+        return [InputPartition(x) for x in sorted(os.listdir(self.path)) if x.endswith(".jsonl")]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        import json
+
+        with open(f"{self.path}/{partition.value}", encoding="utf-8") as lines:
+            for line in lines:
+                row = json.loads(line) | {"span": partition.value.removesuffix(".jsonl")}
+                if row["commit_ts"] > self.start:
+                    yield tuple(row.get(n) for n in self.names)
+
+
+class Relay:
+    """A landing folder between a source and its readers: batches are written once, in numbered folders, and purged when they are old."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def land(self, batch: DataFrame, number: int) -> None:
+        """Writes a batch; one that is complete is left as it is."""
+        if number not in _versions(batch.sparkSession, self.folder, "batch"):
+            batch.sortWithinPartitions(*commit_order()).write.mode("overwrite").parquet(f"{self.folder}/batch-{number}")
+
+    def read(self, spark: SparkSession, after: int = -1) -> DataFrame:
+        """All complete batches with a number above `after`."""
+        found = [f"{self.folder}/batch-{n}" for n in _versions(spark, self.folder, "batch") if n > after]
+        if not found:
+            raise ValueError("the relay has no such batch")
+        return spark.read.parquet(*found)
+
+    def purge(self, spark: SparkSession, done_ts: int) -> list[int]:
+        """Deletes the oldest batches all of whose changes are at or below a timestamp; the newest always stays."""
+        gone = []
+        for n in _versions(spark, self.folder, "batch")[:-1]:
+            high = spark.read.parquet(f"{self.folder}/batch-{n}").agg(F.max("commit_ts").alias("x")).first()["x"]
+            if high is not None and high > done_ts:
+                break
+            _delete(spark, f"{self.folder}/batch-{n}")
+            gone.append(n)
+        return gone
+
+
 def validate(pending: DataFrame, target: DataFrame, keys: Sequence[str], values: Sequence[str], full: bool = True) -> DataFrame:
     """The newest pending change of each key that the target doesn't show: row missing, row not deleted, or (full) values differ."""
     image = F.coalesce("after", "before")

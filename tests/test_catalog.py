@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from changeloom.plans import catalog, delivery  # noqa: F401
+from changeloom.plans import catalog, delivery, structure  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -2,16 +2,16 @@
 
 P(grade > k) = sigmoid(w . x - b_k) with one weight vector w for all ordered thresholds
 b_0 <= b_1 <= ...; the expected severity is the sum of these over k.  Features are lower-cased words
-that occur in a text, held as hashes; a chi-square screen keeps those that go with the
-grade in the training sample, so x is sparse and a text's length doesn't count against it.
+that occur in a text, held as hashes; every word whose presence goes with the grade or against it in the training sample by a
+chi-square test is one, so x is sparse and a text's length doesn't count against it.
 
 The model is fitted on a bounded sample: SAMPLE labelled documents at most, those with the smallest hash of
-their id.  Only (document, word) pairs of that sample reach the driver, SAMPLE_WORDS at most;
-every document is scored, over its whole text.
+their id.  Only the distinct words of those documents reach the driver, whole; every document is scored, over its whole text.
 
 Defined results: null text has no words, so it gets the severity of the thresholds alone; documents with null ids
-or grades are not learned from; repeated rows give one result each; without two
-different grades to learn from every severity is 0.
+or grades are not learned from; of several grades of an id the highest counts; of rows of documents that share
+an id each is learned from; repeated rows give one result each; very long texts count their distinct words; without two
+different grades to learn from every severity is 0.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from changeloom.llm.words import ALNUM, LOWER, words
 
 SAMPLE = 12_000
-SAMPLE_WORDS = 6_000_000
-FEATURES = 4096
+CHANCE = 28.0  # chi-square that one word in ten million without bearing passes
 
 
 @dataclass
@@ -51,7 +50,7 @@ def _word_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, i
         yield w.row, doc[new], key[new], len(w.first) - 1
 
 
-def fit(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, features: int = FEATURES, rounds: int = 1000, penalty: float = 1e-5) -> Model:
+def fit(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, chance: float = CHANCE, rounds: int = 1000, penalty: float = 1e-5) -> Model:
     """The model of documents 0 .. len(grade) - 1 with (doc, word) pairs, by gradient steps of their own size (Adam)."""
     grades = int(grade.max(initial=0))
     if not len(grade) or grade.min() == grade.max():
@@ -62,8 +61,7 @@ def fit(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, features: int = FE
     share = toxic.mean()
     expected = df * share
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
-    good = np.flatnonzero((df >= 4) & (chi > 28) & (hit > expected))  # one chance word in ten million passes
-    good = np.sort(good[np.argsort(-chi[good], kind="stable")[:features]])
+    good = np.flatnonzero((df >= 4) & (chi > chance))
     number = np.full(len(known), -1)
     number[good] = np.arange(len(good))
     keep = number[at] >= 0
@@ -83,9 +81,9 @@ def fit(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, features: int = FE
     return Model(known[good], weight, bounds)
 
 
-def train(documents: DataFrame, grades: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Model:
+def train(documents: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from documents (doc_id, text) and grades (doc_id, grade from 0)."""
-    rows = grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").dropDuplicates(["doc_id"])
+    rows = grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     some = rows.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +96,7 @@ def train(documents: DataFrame, grades: DataFrame, sample: int = SAMPLE, sample_
     kind = documents.schema["doc_id"].dataType.simpleString()
     picked = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
     found = picked.mapInArrow(run, f"doc_id {kind}, grade int, words binary")
-    held, total = [], 0
-    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        total += len(r["words"]) // 8
-        if total > sample_words:
-            break
-        held.append((r["grade"], np.frombuffer(bytes(r["words"]), np.uint64)))
+    held = [(r["grade"], np.frombuffer(bytes(r["words"]), np.uint64)) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "words").toLocalIterator()]
     grade = np.array([g for g, _ in held], np.int64)
     doc = np.repeat(np.arange(len(held)), [len(w) for _, w in held])
     return fit(doc, np.concatenate([np.zeros(0, np.uint64), *(w for _, w in held)]), grade)

@@ -17,22 +17,21 @@ probability; repeated rows give a result each; a null id is in the training set.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.llm.arrays import STRIDE, Files, part_column, small
 from changeloom.llm.frames import cut, shared_path
 from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, unmix, words
 
 HELD = 3_000_000
 WORDS_IN_FILE, TOKENS_IN_FILE = 1 << 20, 1 << 22  # on average; files of bigrams are dealt by the number of tokens
-STRIDE = 1 << 21  # word k of file f has the number f * STRIDE + k
 END, FIRST, UNSEEN = 0, 1, 2  # places after the last file: the end of a text, the context before a text, an unseen word
 
 
@@ -70,53 +69,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return cut(_count(texts, lambda: lambda w: w.hash.view(np.int64)).groupBy("key").agg(F.sum("n").alias("n")))
 
 
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
-
-
-def _part_of(key: str, parts: int) -> Column:
-    return F.expr(f"CAST(shiftright(shiftrightunsigned({key}, 33) * {parts}L, 31) AS INT)")
-
-
-class _Files:
-    """The arrays of a folder by kind and number, mapped when first read; empty where there is no file."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder, self.held = folder, {}
-
-    def __call__(self, kind: str, k: int) -> np.ndarray:
-        if (kind, k) not in self.held:
-            path = f"{self.folder}/{kind}-{k}.npy"
-            self.held[kind, k] = np.asarray(np.load(path, mmap_mode="r")) if os.path.exists(path) else np.zeros(0, np.uint64)
-        return self.held[kind, k]
-
-    def save(self, kind: str, k: int, values: np.ndarray) -> None:
-        if len(values):
-            path = f"{self.folder}/{kind}-{k}"
-            np.save(made := f"{path}.{uuid.uuid4().hex}.npy", values)
-            os.replace(made, f"{path}.npy")
-
-    def find(self, kind: str, parts: int, hashes: np.ndarray, values: tuple[str, ...]) -> list[np.ndarray]:
-        """For sorted hashes their numbers, or -1 where absent, and their values, or 0."""
-        part = _part(hashes, parts)
-        out = [np.full(len(hashes), -1, np.int64), *(np.zeros(len(hashes), np.int64) for _ in values)]
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
-            k = int(part[a])
-            own, some = self(kind, k), hashes[a:b]
-            if len(own):
-                at = np.minimum(np.searchsorted(own, some), len(own) - 1)
-                hit = own[at] == some
-                out[0][a:b] = np.where(hit, k * STRIDE + at, -1)
-                for x, value in zip(out[1:], values, strict=True):
-                    x[a:b] = np.where(hit, self(value, k)[at], 0)
-        return out
-
-
-def _small(n: np.ndarray) -> np.ndarray:
-    return n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
-
-
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """part, sorted keys and sums of n of the rows of a task."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -190,19 +142,19 @@ def train(documents: DataFrame, counts: DataFrame, files: Callable[[int], int] =
     folder = shared_path(spark, f"loom-lm-{uuid.uuid4().hex}")
 
     def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Files(folder)
+        out = Files(folder)
         for k, key, n in _by_part(batches):
             if len(key) > STRIDE:
                 raise ValueError("too many words in a file")
             out.save("words", k, key)
-            out.save("count", k, _small(n))
+            out.save("count", k, small(n))
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(key)])], ["part", "n"])
 
-    dealt = counts.select(_part_of("key", word_parts).alias("part"), "key", "n").repartitionById(word_parts, F.col("part"))
+    dealt = counts.select(part_column("key", word_parts).alias("part"), "key", "n").repartitionById(word_parts, F.col("part"))
     dealt.mapInArrow(store_words, "part long, n long").collect()
 
     def keys_of() -> Callable[[Words], np.ndarray]:
-        found = _Files(folder)
+        found = Files(folder)
 
         def keys(w: Words) -> np.ndarray:
             kinds, at = np.unique(w.hash, return_inverse=True)
@@ -213,10 +165,10 @@ def train(documents: DataFrame, counts: DataFrame, files: Callable[[int], int] =
         return keys
 
     def store_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Files(folder)
+        out = Files(folder)
         for k, key, n in _by_part(batches):
             out.save("pairs", k, key)
-            out.save("times", k, _small(n))
+            out.save("times", k, small(n))
             out.save("few", k, _few(n))
             pair = unmix(key)
             context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -227,7 +179,7 @@ def train(documents: DataFrame, counts: DataFrame, files: Callable[[int], int] =
             yield pa.RecordBatch.from_arrays([pa.array(number // STRIDE, pa.int32()), pa.array(number % STRIDE, pa.int32()), *(pa.array(x, pa.int32()) for x in sums)], ["part", "place", *_STATS])
 
     def store_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = _Files(folder), {}
+        out, held = Files(folder), {}
         for b in batches:
             part, place, *sums = (c.to_numpy() for c in b.columns)
             for k in np.unique(part).tolist():
@@ -238,15 +190,15 @@ def train(documents: DataFrame, counts: DataFrame, files: Callable[[int], int] =
                     np.add.at(x, place[own], n[own])
         for k, stats in held.items():
             for kind, x in zip(_STATS, stats, strict=True):
-                out.save(kind, k, _small(x))
+                out.save(kind, k, small(x))
             out.save("few-before", k, _few(stats[3]))
             out.save("all-before", k, np.array([stats[3].sum(), np.count_nonzero(stats[3] > 2)]))
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([stats.shape[1]])], ["part", "n"])
 
-    sent = _count(documents.select("text"), keys_of).select(_part_of("key", pair_parts).alias("part"), "key", "n").repartitionById(pair_parts, F.col("part"))
+    sent = _count(documents.select("text"), keys_of).select(part_column("key", pair_parts).alias("part"), "key", "n").repartitionById(pair_parts, F.col("part"))
     partial = sent.mapInArrow(store_pairs, "part int, place int, " + ", ".join(f"{x} int" for x in _STATS))
     partial.repartitionById(word_parts + 1, F.col("part")).mapInArrow(store_stats, "part long, n long").collect()
-    made = _Files(folder)
+    made = Files(folder)
 
     def over(kind: str, parts: int, n: int) -> np.ndarray:
         return np.sum([np.zeros(n, np.int64), *(x for k in range(parts) if len(x := made(kind, k)))], axis=0)
@@ -263,7 +215,7 @@ def score(documents: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     m, last = model, model.word_parts * STRIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Files(m.folder)
+        found = Files(m.folder)
         for batch in batches:
             for w in words(batch.column(1), GRAPHIC, LOWER):
                 n = len(w.first) - 1

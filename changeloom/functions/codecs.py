@@ -56,6 +56,31 @@ def from_canal_json(messages: DataFrame, columns: T.StructType, message: str = "
     return m.select(F.col("_m.database").alias("schema_name"), F.col("_m.table").alias("table_name"), op.alias("op"), F.col(f"_m.{EXTENSION}.commitTs").alias("commit_ts"), F.when(op == "D", data).when(op == "U", old).alias("before"), F.when(op != "D", data).alias("after"))
 
 
+def canal_json_ddl(type_name: Column | None = None) -> Column:
+    """canal-json of DDLs (schema_name, table_name, query, commit_ts): the type is the statement's first word unless given."""
+    kind = F.upper(F.split(F.trim("query"), r"\s+")[0]) if type_name is None else type_name
+    none = F.lit(None).cast("string")
+    fields = [F.lit(0).alias("id"), F.col("schema_name").alias("database"), F.col("table_name").alias("table"), none.alias("pkNames"), F.lit(True).alias("isDdl"), kind.alias("type"), F.shiftright("commit_ts", 18).alias("es"), F.col("query").alias("sql")]
+    fields += [none.alias(x) for x in ("sqlType", "mysqlType", "data", "old")]
+    return F.to_json(F.struct(*fields, F.struct(F.col("commit_ts").alias("commitTs")).alias(EXTENSION)), KEEP_NULLS)
+
+
+def open_protocol_ddl() -> tuple[Column, Column]:
+    """Key {ts, scm, tbl, t: 2} and value {q, t} of DDLs with the number of their type."""
+    key = F.to_json(F.struct(F.col("commit_ts").alias("ts"), F.col("schema_name").alias("scm"), F.col("table_name").alias("tbl"), F.lit(2).alias("t")))
+    return key, F.to_json(F.struct(F.col("query").alias("q"), F.col("type_number").alias("t")))
+
+
+def vector_text(value: Column) -> Column:
+    """A vector as [a,b,...]."""
+    return F.concat(F.lit("["), F.array_join(value.cast("array<string>"), ",", "null"), F.lit("]"))
+
+
+def vector_from_text(text: Column, kind: T.DataType) -> Column:
+    """The vector of a text; null if it is none."""
+    return F.when(text.rlike(r"^\[.*\]$"), F.transform(F.filter(F.split(F.substr(text, F.lit(2), F.length(text) - 2), ","), lambda x: x != ""), lambda x: x.try_cast(kind)))
+
+
 def open_protocol(log: DataFrame, keys: Sequence[str]) -> tuple[Column, Column]:
     """Key and value of the open protocol: {ts, scm, tbl, t} and {u} with {p} for updates, or {d}; columns as {t, h, f, v}, in name order."""
     columns = dict(sorted(_types(log).items()))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeloom.functions import binary, codecs
-from changeloom.operators import changelog, ddl, diff, filters, spans, statements
+from changeloom.operators import changelog, conflicts, ddl, diff, filters, spans, statements
 from changeloom.plans import fixtures
 from changeloom.plans.catalog import _DIFF, _IMAGES, _ORDER, _WITH_LOG, CRC, KEYS, VALUES, _checksum_sql, _flat, _order_text, _pair, _query, _TEXT, crc32, narrow_log
 from changeloom.sources import storage
@@ -292,3 +292,41 @@ def collated_order(spark, sf_dir):
 def missing_tables(spark, sf_dir):
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "table_name string")
     return diff.missing_tables(names("orders", "only_source"), names("orders", "only_target"))
+
+
+# Conflicts.
+_WINDOWS = f"{_WITH_LOG}, placed AS (SELECT seq, o_orderkey, commit_ts, row_number() OVER (ORDER BY {_ORDER}) AS place FROM log)"
+
+
+def _conflict_keys(spark, sf_dir):
+    own = changelog.number_by_commit(fixtures.log(spark, sf_dir), [])
+    return own, changelog.causality_keys(F.lit("orders"), [["o_orderkey"]], VALUES, True)
+
+
+@_query(f"{_WINDOWS} SELECT seq, CAST((place - 1) // 500 AS BIGINT) AS window_no, row_number() OVER (PARTITION BY (place - 1) // 500, o_orderkey ORDER BY place) AS wave FROM placed")
+def conflict_waves(spark, sf_dir):
+    return conflicts.waves(*_conflict_keys(spark, sf_dir), "position", 500)
+
+
+@_query(f"{_WINDOWS}, firsts AS (SELECT *, (place - 1) // 500 AS w, row_number() OVER (PARTITION BY (place - 1) // 500, o_orderkey ORDER BY place) = 1 AS first FROM placed), counted AS (SELECT *, sum(first::INT) OVER (PARTITION BY w ORDER BY place) - 1 AS n FROM firsts) SELECT seq, CAST(w AS BIGINT) AS window_no, CAST(0 AS BIGINT) AS barrier, CAST(min(n) OVER (PARTITION BY w, o_orderkey) AS BIGINT) AS relation FROM counted")
+def conflict_relations(spark, sf_dir):
+    return conflicts.relations(*_conflict_keys(spark, sf_dir), "position", 500)
+
+
+@_query(f"{_WITH_LOG} SELECT seq, CAST((row_number() OVER (PARTITION BY commit_ts, start_ts ORDER BY CASE op WHEN 'D' THEN 0 WHEN 'U' THEN 1 ELSE 2 END, seq) - 1) // 4 + 1 AS BIGINT) AS batch_id FROM log")
+def split_transactions(spark, sf_dir):
+    return conflicts.split_transactions(fixtures.log(spark, sf_dir), 4).select("seq", "batch_id")
+
+
+@_query("""SELECT * FROM (VALUES (1, '{"id":0,"database":"s","table":"a","pkNames":null,"isDdl":true,"type":"CREATE","es":0,"sql":"CREATE TABLE a (x INT)","sqlType":null,"mysqlType":null,"data":null,"old":null,"_tidb":{"commitTs":10}}', '{"q":"CREATE TABLE a (x INT)","t":3}'),
+  (2, '{"id":0,"database":"s","table":"a","pkNames":null,"isDdl":true,"type":"ALTER","es":0,"sql":"ALTER TABLE a ADD COLUMN y INT","sqlType":null,"mysqlType":null,"data":null,"old":null,"_tidb":{"commitTs":20}}', '{"q":"ALTER TABLE a ADD COLUMN y INT","t":5}')) AS t(id, canal, open)""")
+def ddl_messages(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM (VALUES (1, 10L, 's', 'a', 3, 'CREATE TABLE a (x INT)'), (2, 20L, 's', 'a', 5, 'ALTER TABLE a ADD COLUMN y INT')) AS t(id, commit_ts, schema_name, table_name, type_number, query)")
+    return rows.select("id", codecs.canal_json_ddl().alias("canal"), codecs.open_protocol_ddl()[1].alias("open"))
+
+
+@_query("SELECT vec_id, true AS same FROM embeddings WHERE embedding IS NOT NULL")
+def vector_text_round_trip(spark, sf_dir):
+    rows = fixtures.tables(spark, sf_dir, "embeddings")["embeddings"].where("embedding IS NOT NULL").select("vec_id", "embedding")
+    kind = rows.schema["embedding"].dataType.elementType
+    return rows.select("vec_id", codecs.vector_from_text(codecs.vector_text(F.col("embedding")), kind).eqNullSafe(F.col("embedding")).alias("same"))

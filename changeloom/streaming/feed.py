@@ -18,6 +18,12 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files: int
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of streams in RocksDB on the executors' disks, checkpointed as changes, instead of in their memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def without_repeats(stream: DataFrame, keys: Sequence[str], ts: str, late: str) -> DataFrame:
     """At-least-once input without repeats; state is kept for the watermark's delay only."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))

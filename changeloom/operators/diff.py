@@ -39,7 +39,7 @@ def row_hash(text: Column) -> Column:
 
 
 def unsigned(value: Column) -> Column:
-    return value.cast("decimal(20,0)") + F.when(value < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    return (value.cast("decimal(20,0)") + F.when(value < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("decimal(20,0)")
 
 
 def checksums(rows: DataFrame, text: Column, group: Sequence[Column] = ()) -> DataFrame:

@@ -267,7 +267,7 @@ def mount(raw: DataFrame, columns: T.StructType, defaults: dict[str, object] | N
 def unsigned(value: Column, bits: int) -> Column:
     """A signed number of so many bits as the unsigned one of the same bits."""
     wide = value.cast("decimal(20,0)")
-    return F.when(value < 0, wide + F.lit(1 << bits).cast("decimal(20,0)")).otherwise(wide)
+    return F.when(value < 0, wide + F.lit(1 << bits).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
 def charset(value: Column, name: str) -> Column:

@@ -23,7 +23,7 @@ def _events(spark):
     return spark.sql(_EVENTS).withColumn("table_id", F.col("table_id").cast("long"))
 
 
-@_query(_CATALOG)
+@_query(f"SELECT CAST(table_id AS BIGINT) AS table_id, CAST(ts AS BIGINT) AS ts, CAST(version AS BIGINT) AS version, CAST(next_ts AS BIGINT) AS next_ts, schema_name, table_name, columns, gone FROM ({_CATALOG})")
 def ddl_catalog(spark, sf_dir):
     return ddl.catalog(_events(spark))
 
@@ -264,7 +264,7 @@ def global_checksum(spark, sf_dir):
 _STATES = "SELECT * FROM (VALUES ('a', 0, 'success', 10, 10, 0, 0), ('a', 1, 'failed', 10, 9, 2, 1), ('a', 2, 'not_checked', 10, 10, 5, 5), ('a', 3, 'success', 1, 1, 0, 0), ('b', 0, 'success', 4, 4, 0, 0), ('b', 1, 'ignored', 4, 4, 0, 0)) AS t(table_name, chunk, state, up_count, down_count, rows_add, rows_delete)"
 
 
-@_query("SELECT * FROM (VALUES ('a', 31, 30, 2, 1, 'fail'), ('b', 8, 8, 0, 0, 'pass')) AS t(table_name, up_count, down_count, rows_add, rows_delete, result)")
+@_query("SELECT table_name, CAST(u AS BIGINT) AS up_count, CAST(d AS BIGINT) AS down_count, CAST(a AS BIGINT) AS rows_add, CAST(r AS BIGINT) AS rows_delete, result FROM (VALUES ('a', 31, 30, 2, 1, 'fail'), ('b', 8, 8, 0, 0, 'pass')) AS t(table_name, u, d, a, r, result)")
 def diff_report(spark, sf_dir):
     return diff.report(spark.sql(_STATES))
 

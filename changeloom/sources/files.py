@@ -27,14 +27,14 @@ def schema_document(schema: str, table: str, version: int, columns: T.StructType
 
 
 def write_change_files(lines: DataFrame, path: str, date_separator: str = "none", rows_per_file: int = 0) -> None:
-    """Lines in folders by schema, table and version (and date), in commit order within a file."""
+    """Lines in folders by schema, table and version (and date), in commit order within a file; a large table version is dealt by ranges of commit_ts."""
     parts = ["schema_name", "table_name", "table_version"]
     out = lines
     if date_separator != "none":
         form = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[date_separator]
         out = out.withColumn("date", F.date_format(F.timestamp_millis(F.shiftright("commit_ts", 18)), form))
         parts.append("date")
-    writer = out.repartition(*parts).sortWithinPartitions(*parts, "commit_ts", "seq", "line_no").select(*parts, "line").write.mode("append").partitionBy(*parts)
+    writer = out.repartitionByRange(*parts, "commit_ts").sortWithinPartitions(*parts, "commit_ts", "seq", "line_no").select(*parts, "line").write.mode("append").partitionBy(*parts)
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).text(path)
 
 

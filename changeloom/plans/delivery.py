@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changeloom.functions import codecs, decoders
+from changeloom.functions import codecs, decoders, protobuf
 from changeloom.operators import changelog, consumer, routing, statements
 from changeloom.plans import fixtures
 from changeloom.plans.catalog import _FINAL, _IMAGES, _ORDER, _RANK, _VERSIONS, _WITH_LOG, _APPLIED, KEYS, VALUES, _flat, _query, narrow_log
@@ -43,6 +43,13 @@ def csv_round_trip(spark, sf_dir):
     return back.select("table_name", "op", "commit_ts", "is_update", changelog.image("o_orderkey").alias("o_orderkey"), *images)
 
 
+@_query(f"{_WITH_LOG} SELECT schema_name, table_name, op, CAST(0 AS BIGINT) AS execute_ms, {_IMAGES} FROM log")
+def canal_protobuf_round_trip(spark, sf_dir):
+    own = fixtures.log(spark, sf_dir)
+    sent = protobuf.canal_packets(own, KEYS).select("value")
+    return _flat(protobuf.from_canal_packets(sent, own.schema["after"].dataType), "schema_name", "table_name", "op", "execute_ms")
+
+
 def _files(spark, sf_dir):
     own = changelog.number_by_commit(fixtures.log(spark, sf_dir), [])
     return decoders.canal_json_files(own.select("position", codecs.canal_json(own, KEYS).alias("message")), 100, [F.col("position")])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.functions import binary, codecs, decoders
+from changeloom.functions import binary, codecs, decoders, protobuf
 from changeloom.operators import changelog, conflicts, ddl, diff, filters, routing, spans, statements
 from changeloom.plans import fixtures
 from changeloom.plans.catalog import narrow_log
@@ -119,6 +119,11 @@ def test_avro_bytes(spark):
     assert [(r["id"], r["row"]) for r in binary.from_avro(sent, columns).select("id", "row").collect()] == [(r["id"], r["r"]) for r in frame.collect()]
 
 
+def test_protobuf_fields():
+    assert protobuf.field(1, 150) == b"\x08\x96\x01" and protobuf.field(2, "testing") == b"\x12\x07testing"
+    assert protobuf.fields(protobuf.field(1, 150) + protobuf.field(12, "a") + protobuf.field(12, b"b")) == {1: [150], 12: [b"a", b"b"]}
+
+
 def test_row_checksum_against_zlib(spark):
     columns = T.StructType().add("a", "long").add("b", "string").add("c", "double").add("d", "binary")
     rows = [(-5, "é x", 2.25, b"\1\2"), (None, None, float("nan"), None), (7, "", None, b"")]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of its own only where that is unset and the executors are in this process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -75,12 +74,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path.toUri().getPath()
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver to collect plans that nothing refers to any more, which frees their shuffle files on all disks."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop(frame: DataFrame) -> None:
     """Deletes the table behind a frame from cut(), once nothing reads it any more."""
     path, fs = _path(frame.sparkSession, frame._loom_path)

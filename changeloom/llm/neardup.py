@@ -11,7 +11,7 @@
    the symmetric difference from the parities of hashed cells).
 5. First every class of a shingle is compared with PIVOTS of them, the same for all shingles of
    a group, which joins most of a group of near copies by stars.  Then classes that still are in different components meet again, each
-   pair of them once; pairs that are linked already aren't formed, so a large group
+   pair of them once and only with those of a size class that allows the similarity; pairs that are linked already aren't formed, so a large group
    doesn't cost all its pairs, and no link between components is missed.
 6. A pair that passes meets the suffix filter again with cells in proportion to the set; what passes
    is verified once, by the exact size of the intersection.
@@ -23,6 +23,7 @@ an id count as one document when linking, and every input row gives one result r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
-from changeloom.llm.frames import cut, drop, release
+from changeloom.llm.frames import cut, drop, fresh
 from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, ngrams, ragged, words
 
 SHINGLE = 5
@@ -41,7 +42,6 @@ RANKED = 1 << 18
 PARITY = 8  # 64-bit words of parity cells for the suffix filter
 PARITIES = [f"p{k}" for k in range(PARITY)]
 CELLS = 4  # parity cells for each member of a set, at least, before sets are compared
-MANY_IDS = 1_000_000  # ids or pairs that are broadcast at most
 PIVOTS = 4  # classes that every class of a shingle is compared with at first
 
 
@@ -65,15 +65,13 @@ def word_counts(documents: DataFrame, ranked: int = RANKED) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(n[keep])], ["word", "n"])
 
     counted = cut(documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    least, total = 1, 0
+    least, total = 1 << 62, 0  # above all counts
     steps = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
     for r in sorted(steps.collect(), reverse=True):  # a row for each eighth of a power of two
         total += r["words"]
         if total > ranked:
             break
         least = r["least"]
-    else:
-        least = 1
     found = counted.where(F.col("n") >= least).toPandas()
     drop(counted)
     keys, n = found["word"].to_numpy(np.int64).astype(np.uint64), found["n"].to_numpy(np.int64)
@@ -182,16 +180,20 @@ def _allowed(n: int, t: Fraction) -> int:
     return n - 2 * -(-t.numerator * n // (t.numerator + t.denominator))
 
 
-def _with_sides(pairs: DataFrame, members: DataFrame, column: str) -> DataFrame:
-    """u, v and x, y of the column for both; each document's column is sent once for v and once for each pair it is u of."""
-    small = F.broadcast if pairs.count() <= MANY_IDS else lambda frame: frame
-    x = members.select(F.col("doc_id").alias("u"), F.struct("n", column).alias("x")).join(small(pairs), "u")
-    y = members.join(small(pairs.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), F.struct("n", column).alias("y"))
-    return x.join(y, "v").select("u", "v", "x.n", F.col("y.n").alias("m"), F.col(f"x.{column}").alias("left"), F.col(f"y.{column}").alias("right"))
+def _by_shuffle(frame: DataFrame) -> DataFrame:
+    """The frame as a side of sort-merge joins: one plan at all sizes, whatever the session broadcasts of itself."""
+    return frame.hint("merge")
 
 
-def _chosen(rows: DataFrame, fine) -> DataFrame:
-    """u, v of the rows for which fine(n, m, left, right)."""
+def _chosen(pairs: DataFrame, members: DataFrame, column: str, fine) -> DataFrame:
+    """A table of u, v of the pairs for which fine(n, m, left, right) of both documents' columns.
+
+    Each document's column is sent once for v and once for each pair it is u of.  The side of v is a table, so that both sides are dealt
+    for the last join alone and Spark can split a v with very many pairs.
+    """
+    y = cut(members.join(_by_shuffle(pairs.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), F.struct("n", column).alias("y")))
+    x = members.select(F.col("doc_id").alias("u"), F.struct("n", column).alias("x")).join(_by_shuffle(pairs), "u")
+    rows = x.join(_by_shuffle(y), "v").select("u", "v", "x.n", F.col("y.n").alias("m"), F.col(f"x.{column}").alias("left"), F.col(f"y.{column}").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +203,9 @@ def _chosen(rows: DataFrame, fine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(kept))
 
     kind = rows.schema["u"].dataType.simpleString()
-    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+    found = cut(rows.mapInArrow(run, f"u {kind}, v {kind}"))
+    drop(y)
+    return found
 
 
 def _possible(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
@@ -210,7 +214,7 @@ def _possible(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
     def fine(n: int, m: int, left: pa.Buffer, right: pa.Buffer) -> bool:
         return _differing(np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)) <= _allowed(n + m, t)
 
-    return _chosen(_with_sides(pairs, members, "cells"), fine)
+    return _chosen(pairs, members, "cells", fine)
 
 
 def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
@@ -220,7 +224,7 @@ def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
         both = n + m - len(np.unique(np.concatenate([np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)])))
         return t.denominator * both >= t.numerator * (n + m - both)
 
-    return _chosen(_with_sides(pairs, members, "members"), fine)
+    return _chosen(pairs, members, "members", fine)
 
 
 def _near(t: Fraction) -> str:
@@ -242,8 +246,8 @@ def _pairs(met: DataFrame) -> DataFrame:
 def _toward_hubs(pairs: DataFrame) -> DataFrame:
     """The pairs, v the document that is in more of them (of equal ones the smaller id), so that few documents are a v."""
     degree = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("d")))
-    small = F.broadcast(degree) if degree.count() <= MANY_IDS else degree
-    both = pairs.join(small.select(F.col("id").alias("u"), F.col("d").alias("du")), "u").join(small.select(F.col("id").alias("v"), F.col("d").alias("dv")), "v")
+    ends = [_by_shuffle(degree.select(F.col("id").alias(end), F.col("d").alias(f"d{end}"))) for end in ("u", "v")]
+    both = pairs.join(ends[0], "u").join(ends[1], "v")
     turned = cut(both.select(F.expr("if(du > dv, v, u)").alias("u"), F.expr("if(du > dv, u, v)").alias("v")))
     drop(degree)
     return turned
@@ -252,17 +256,15 @@ def _toward_hubs(pairs: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, documents: DataFrame, shingle: int, t: Fraction) -> DataFrame:
     """u, v of the pairs that are similar; only texts of documents in a pair are read again and turned into sets."""
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    small = F.broadcast(ids) if ids.count() <= MANY_IDS else ids
-    members = cut(_member_sets(documents.join(small, "doc_id", "left_semi"), shingle))
+    members = cut(_member_sets(documents.select("doc_id", "text").join(_by_shuffle(ids), "doc_id", "left_semi"), shingle))
     turned = _toward_hubs(pairs)
-    possible = cut(_possible(turned, members, t))
+    possible = _possible(turned, members, t)
     drop(turned)
     hubs = _toward_hubs(possible)
     drop(possible)
-    found = cut(_verified(hubs, members, t))
+    found = _verified(hubs, members, t)
     for done in (ids, members, hubs):
         drop(done)
-    release(documents.sparkSession)
     return found
 
 
@@ -277,34 +279,34 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     pivots = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("order"), "id", "n", "at")).alias(f"y{k}") for k in range(PIVOTS)]
     many = posted.groupBy("shingle").count().where("count > 1").select("shingle")
     shared = cut(posted.join(many, "shingle", "left_semi"))
-    release(documents.sparkSession)
     chosen = shared.groupBy("shingle").agg(*pivots).select("shingle", F.array_distinct(F.array(*(f"y{k}" for k in range(PIVOTS)))).alias("pivots"))
     met = shared.join(chosen, "shingle").select(F.struct("id", "n", "at").alias("x"), F.explode("pivots").alias("y")).where("x.id <> y.id").where(_near(t))
     x, y = (signs.select(F.col("id").alias(k), F.struct("id", "n", *PARITIES).alias(s)) for k, s in (("u", "x"), ("v", "y")))
     first = cut(_pairs(_pairs(met).join(x, "u").join(y, "v").where(_small_rest(t))))
-    release(documents.sparkSession)
     links = _links(first, documents, shingle, t)
     near = components(links)
     placed = shared.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = cut(placed.join(mixed.select("shingle"), "shingle", "left_semi").join(signs.drop("n"), "id"))
-    rest = open_.alias("x").join(open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.component < y.component AND {_near(t)} AND {_small_rest(t)}"))
+    width = math.log(1 / t) * (1 + 1e-9) if t < 1 else 1.0  # sizes of similar sets are of one class or of neighbours
+    size = F.floor(F.log("n") / width) if t < 1 else F.col("n")
+    open_ = cut(placed.join(mixed.select("shingle"), "shingle", "left_semi").join(signs.drop("n"), "id").withColumn("size", size))
+    other = open_.withColumn("meets", F.explode(F.array("size", F.col("size") - 1)))
+    once = "x.component <> y.component AND (x.size < y.size OR x.component < y.component)"
+    rest = open_.alias("x").join(other.alias("y"), F.expr(f"x.shingle = y.shingle AND x.size = y.meets AND {once} AND {_near(t)} AND {_small_rest(t)}"))
     rest = cut(_pairs(rest).join(first, ["u", "v"], "left_anti"))
     for done in (shared, open_, first):
         drop(done)
-    release(documents.sparkSession)
     ends = near if rest.isEmpty() else components(links.unionByName(_links(rest, documents, shingle, t)))
     named = kept.select("n", "a", "b", "id").join(ends, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
     for done in (signed, kept, rest):
         drop(done)
-    release(documents.sparkSession)
     return out
 
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """documents, with all columns, without those that link to a smaller id; of repeated ids every row stays or goes together."""
-    gone = classes(documents, shingle, similarity).where("component_id < doc_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= MANY_IDS else gone  # else the texts are shuffled, once
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    name = fresh(documents.columns, "gone_id")
+    gone = classes(documents, shingle, similarity).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(_by_shuffle(gone), documents["doc_id"] == gone[name], "left_anti")

@@ -4,17 +4,19 @@ The rules' regular expressions are parsed into one nondeterministic automaton ov
 (each with its own accepting mark), made deterministic by subset construction, minimised by
 partition refinement and stored as a transition array.  Every byte of every text is read
 once for all rules: the lines of a chunk are streams that advance in step, one array
-lookup for each position.  A line is a stream of its own as nothing that the automaton looks for
+lookup for each position, and the few longest are read to their ends one by one.  A line is a stream of its own as nothing that the automaton looks for
 crosses a line feed, which is checked when rules are compiled.
 
-A rule that accepts somewhere in a text is then run with Python's re over that text alone,
-which gives leftmost non-overlapping matches and code point positions.  What a rule compiles
-to accepts within every match that is long enough, so no match is lost; long counted runs
-are cut short there, as subsets of their counters would multiply the states.  The match of a private key
-goes on over the lines after the header that the automaton finds, to the end of the key.
+Where the combined automaton has accepted, the spans come from the rule's own automaton, made by the same
+construction of its whole pattern: it starts at each place in turn that can begin a match, reads while it can, and the longest
+match stands; the next begins after it.  For these rules that is what a regular expression engine finds from left to right, as their
+parts leave no choice (tests compare it with re).  The combined automaton holds cut forms of long counted runs, as subsets of their
+counters would multiply its states; a cut form accepts within every match that is long enough, so no match is lost.
+Only a private key is no regular pattern of one line: from the header that the automaton finds, re takes it over the lines to its end.
 
-Defined results: null text is empty and has no spans; repeated rows give one row each;
-other columns are kept by redact() and ignored by scan().  Empty tables give empty results.
+Defined results: null text is empty and has no spans; repeated rows give one row each; of spans that begin at one place the rule listed
+first is told first; texts of any length are read whole, also in one line.  Other columns are kept by redact(), whatever their names, and ignored by scan().
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,16 @@ LETTER, DIGIT = "A-Za-z", "0-9"
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern finds matches; those whose group is shorter than least are dropped.  base: of the contract, else added."""
+    """A match is the pattern; those whose part after the prefix is shorter than least are dropped.  base: of the contract, else added."""
 
     kind: str
     pattern: str
-    group: int = 0
+    prefix: str = ""  # what the pattern begins with and least doesn't count
     least: int = 1
     fold: bool = False
     base: bool = False
     automaton: str = ""  # a pattern with an end in every long enough match, of few states
+    lines: bool = False  # the pattern is for re and goes on over lines after what the automaton finds
 
 
 _KEYWORD = """(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?"""
@@ -59,10 +62,10 @@ _KEY = (
 )
 #: The three base kinds, and public formats of well-known credentials.
 RULES = (
-    Rule("assign", _KEYWORD + "([A-Za-z0-9+/_.=-]+)", 2, 6, True, True, _KEYWORD + "([A-Za-z0-9+/_.=-]{6})"),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20, False, True, "AKIA[A-Z0-9]{4}"),
-    Rule("hex", "[0-9a-f]+", 0, 24, False, True, "[0-9a-f]{24}"),
-    Rule("pem", _KEY, automaton=_PEM),
+    Rule("assign", _KEYWORD + "([A-Za-z0-9+/_.=-]+)", _KEYWORD, 6, True, True, _KEYWORD + "([A-Za-z0-9+/_.=-]{6})"),
+    Rule("access", "AKIA[A-Z0-9]+", "", 20, False, True, "AKIA[A-Z0-9]{4}"),
+    Rule("hex", "[0-9a-f]+", "", 24, False, True, "[0-9a-f]{24}"),
+    Rule("pem", _KEY, automaton=_PEM, lines=True),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36}", automaton="gh[pousr]_[A-Za-z0-9]{4}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", automaton="xox[abprs]-[A-Za-z0-9-]{2}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", automaton="eyJ[A-Za-z0-9_-]{2}"),
@@ -198,16 +201,36 @@ class Automaton:
     next: np.ndarray
     accept: np.ndarray
 
+    @cached_property
+    def lists(self) -> tuple[list[list[int]], list[int]]:
+        return self.next.reshape(-1, 256).tolist(), self.accept.tolist()
+
+
+class Pattern:
+    """The deterministic automaton of one pattern from a given place on."""
+
+    def __init__(self, pattern: str, fold: bool) -> None:
+        nfa = _Nfa()
+        first, last = nfa.add(pattern, fold)
+        moves, accept = _subsets(nfa, {last: 0}, first, False)
+        self.dead = [k for k, row in enumerate(moves) if not accept[k] and (row == k).all()]
+        self.rows, self.accept = moves.tolist(), accept.tolist()
+        self.begins = np.array([row not in self.dead for row in self.rows[0]])
+
+    def end(self, data: bytes, at: int) -> int:
+        """Where the longest match that begins at a place ends, or -1."""
+        state, out, rows, accept, dead = 0, -1, self.rows, self.accept, self.dead
+        for k in range(at, len(data)):
+            state = rows[state][data[k]]
+            if state in dead:
+                break
+            if accept[state]:
+                out = k + 1
+        return out
 
-@lru_cache(maxsize=8)
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    """The minimal deterministic automaton that finds an end of a match of any rule anywhere."""
-    nfa = _Nfa()
-    start, marks = nfa.state(), {}
-    for k, rule in enumerate(rules):
-        first, last = nfa.add(rule.automaton or rule.pattern, rule.fold)
-        nfa.empty[start].append(first)
-        marks[last] = k
+
+def _subsets(nfa: _Nfa, marks: dict[int, int], start: int, anywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The deterministic automaton by subset construction: moves (states x 256), accepted rules as bits; anywhere: matches may begin at every byte."""
 
     def closure(states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -219,10 +242,11 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
         return frozenset(x for x in seen if nfa.moves[x] or x in marks)
 
     begin = closure([start])
+    always = begin if anywhere else frozenset()
     number, order, table = {begin: 0}, [begin], []
     for subset in order:
         targets: list[set[int]] = [set() for _ in range(256)]
-        for x in subset | begin:
+        for x in subset | always:
             for found, to in nfa.moves[x]:
                 for b in found:
                     targets[b].add(to)
@@ -230,14 +254,25 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
         for b, to in enumerate(targets):
             key = frozenset(to)
             if key not in known:
-                reached = closure(key) | begin
+                reached = closure(key) | always
                 known[key] = number.setdefault(reached, len(order))
                 if known[key] == len(order):
                     order.append(reached)
             row[b] = known[key]
         table.append(row)
-    moves = np.array(table)
-    accept = np.array([sum({1 << marks[x] for x in s if x in marks}) for s in order], np.int64)
+    return np.array(table), np.array([sum({1 << marks[x] for x in s if x in marks}) for s in order], np.int64)
+
+
+@lru_cache(maxsize=8)
+def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
+    """The minimal deterministic automaton that finds an end of a match of any rule anywhere."""
+    nfa = _Nfa()
+    start, marks = nfa.state(), {}
+    for k, rule in enumerate(rules):
+        first, last = nfa.add(rule.automaton or rule.pattern, rule.fold)
+        nfa.empty[start].append(first)
+        marks[last] = k
+    moves, accept = _subsets(nfa, marks, start, True)
     block = np.unique(accept, return_inverse=True)[1]
     while True:  # states stay together while all their moves lead to the same blocks
         signature = np.column_stack([block, block[moves]])
@@ -256,6 +291,19 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
     return Automaton(small.ravel().astype(np.int32), kept)
 
 
+FEW = 24  # streams
+
+
+def _read(machine: Automaton, state: int, data: bytes) -> int:
+    """The bits of the rules that accept in the rest of a stream."""
+    rows, accept, out = *machine.lists, 0
+    for b in data:
+        state = rows[state][b]
+        if accept[state]:
+            out |= accept[state]
+    return out
+
+
 def flags(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each document of a chunk the bits of the rules that accept somewhere in it."""
     out = np.zeros(len(offsets) - 1, np.int64)
@@ -272,6 +320,10 @@ def flags(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     plain = not machine.accept[0]
     for t in range(int(lengths[0])):
         n = alive[t]
+        if n <= FEW:  # one lookup a byte costs less than an array operation for so few
+            for k in range(n):
+                found[k] |= _read(machine, int(state[k]), data[starts[k] + t : starts[k] + lengths[k]].tobytes())
+            break
         now = machine.next[(state[:n] << 8) | data[starts[:n] + t]]
         state[:n] = now
         ended = machine.accept[now]
@@ -283,16 +335,40 @@ def flags(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 
 @lru_cache(maxsize=64)
-def _compiled(rule: Rule) -> re.Pattern:
-    return re.compile(rule.pattern, re.ASCII | (re.IGNORECASE if rule.fold else 0))
+def _over_lines(rule: Rule) -> re.Pattern:
+    return re.compile(rule.pattern, re.ASCII)
+
+
+@lru_cache(maxsize=64)
+def _patterns(rule: Rule) -> tuple[Pattern, Pattern | None]:
+    return Pattern(rule.pattern, rule.fold), Pattern(rule.prefix, rule.fold) if rule.prefix else None
+
+
+def matches(data: bytes, rule: Rule) -> list[tuple[int, int]]:
+    """Byte spans of a rule's matches from left to right that are long enough; shorter ones take their place too."""
+    whole, prefix = _patterns(rule)
+    out, done = [], 0
+    for at in np.flatnonzero(whole.begins[np.frombuffer(data, np.uint8)]).tolist():
+        if at < done:
+            continue
+        end = whole.end(data, at)
+        if end > 0:
+            done = end
+            if end - (prefix.end(data, at) if prefix else at) >= rule.least:
+                out.append((at, end))
+    return out
 
 
 def spans_of(text: str, rules: tuple[Rule, ...], bits: int) -> list[tuple[int, int, int]]:
-    """(start, rule number, end) of the matches of the flagged rules, in order."""
-    out = []
+    """(start, rule number, end) in code points of the matches of the flagged rules, in order."""
+    out, data = [], text.encode()
+    place = None if len(data) == len(text) else np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
     for k, rule in enumerate(rules):
         if bits >> k & 1:
-            out += [(m.start(), k, m.end()) for m in _compiled(rule).finditer(text) if len(m[rule.group]) >= rule.least]
+            if rule.lines:
+                out += [(m.start(), k, m.end()) for m in _over_lines(rule).finditer(text)]
+            else:
+                out += [(a, k, b) if place is None else (int(place[a]), k, int(place[b])) for a, b in matches(data, rule)]
     return sorted(out)
 
 

@@ -197,7 +197,8 @@ def train(documents: DataFrame, counts: DataFrame, files: Callable[[int], int] =
 
     sent = _count(documents.select("text"), keys_of).select(part_column("key", pair_parts).alias("part"), "key", "n").repartitionById(pair_parts, F.col("part"))
     partial = sent.mapInArrow(store_pairs, "part int, place int, " + ", ".join(f"{x} int" for x in _STATS))
-    partial.repartitionById(word_parts + 1, F.col("part")).mapInArrow(store_stats, "part long, n long").collect()
+    summed = partial.groupBy("part", "place").agg(*(F.sum(x).alias(x) for x in _STATS))  # one row a word, however many files have it
+    summed.repartitionById(word_parts + 1, F.col("part")).mapInArrow(store_stats, "part long, n long").collect()
     made = Files(folder)
 
     def over(kind: str, parts: int, n: int) -> np.ndarray:

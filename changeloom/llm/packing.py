@@ -24,6 +24,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -103,11 +104,17 @@ class WordEncoder:
         return [ids[a:b] if p else self._encoded([t])[0] for t, p, a, b in zip(texts, plain, total[:-1], total[1:], strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """A worker's encoder, which later tasks of the worker use with the words that it remembers."""
+    return WordEncoder(path)
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, close: int = CLOSE) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         last = np.array([close], "<u4")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -211,7 +218,7 @@ def runs(made: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, close: int = CLOSE) -> DataFrame:
     """pieces() with the sequence_id and the offset of each."""
     written = cut(pieces(documents, tokenizer_path, window, close).withColumn("part", F.spark_partition_id()))
-    counts = written.groupBy("length", "part").count().cache()
+    counts = cut(written.groupBy("length", "part").count())
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most window rows
     spark = documents.sparkSession
     table = spark.sparkContext.broadcast(runs(plan(histogram, window)))

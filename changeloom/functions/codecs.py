@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeloom.operators.filters import handle_keys_only
+
 KEEP_NULLS = {"ignoreNullFields": "false"}
 #: JDBC type numbers and MySQL names by type.
 SQL_TYPES = {"int": (4, "int"), "bigint": (-5, "bigint"), "double": (8, "double"), "float": (7, "float"), "string": (12, "varchar"), "timestamp": (93, "timestamp"), "date": (91, "date"), "boolean": (-6, "tinyint"), "binary": (2004, "blob")}
@@ -27,8 +30,11 @@ def texts(side: str, columns: dict[str, str]) -> Column:
     return F.when(F.col(side).isNotNull(), F.struct(*(F.col(f"{side}.{c}").cast("string").alias(c) for c in columns)))
 
 
-def canal_json(log: DataFrame, keys: Sequence[str], extension: bool = True) -> Column:
-    """canal-json: data and old hold texts only; a delete carries its before image in data."""
+def canal_json(log: DataFrame, keys: Sequence[str], extension: bool = True, keys_only: bool = False) -> Column:
+    """canal-json: data and old hold texts only; a delete carries its before image in data.
+
+    keys_only: the images have been cut to handle keys, as the whole message was too large, and the extension says so.
+    """
     columns = _types(log)
     data = F.coalesce(texts("after", columns), texts("before", columns))
     fields = [
@@ -38,10 +44,19 @@ def canal_json(log: DataFrame, keys: Sequence[str], extension: bool = True) -> C
         F.array(data).alias("data"), F.when(F.col("op") == "U", F.array(texts("before", columns))).alias("old"),
     ]
     if extension:
-        fields.append(F.struct(F.col("commit_ts").alias("commitTs")).alias(EXTENSION))
+        own = [F.col("commit_ts").alias("commitTs"), *([F.lit(True).alias("onlyHandleKey")] if keys_only else [])]
+        fields.append(F.struct(*own).alias(EXTENSION))
     return F.to_json(F.struct(*fields), KEEP_NULLS)
 
 
+def canal_json_within(log: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """log without images, with message: canal-json, cut to handle keys where it is over `most` bytes; an error if even that is."""
+    both = handle_keys_only(log.withColumn("_whole", canal_json(log, keys)), keys, ("I", "U", "D"))
+    slim = canal_json(both.select(*log.columns), keys, keys_only=True)
+    fits = F.when(F.octet_length("_whole") <= most, F.col("_whole")).when(F.octet_length(slim) <= most, slim).otherwise(F.raise_error(F.lit("a message is too large even with its keys alone")).cast("string"))
+    return both.withColumn("message", fits).drop("_whole", "before", "after")
+
+
 def from_canal_json(messages: DataFrame, columns: T.StructType, message: str = "message") -> DataFrame:
     """Changes of canal-json messages; texts are cast to the columns' types, what can't be cast is null."""
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in columns.fields])
@@ -129,13 +144,27 @@ def csv_lines(log: DataFrame, delimiter: str = ",", quote: str = '"', null: str
     return own.withColumn("line_no", F.col("_p.n")).withColumn("line", F.concat_ws(delimiter, *head, *cells)).drop("_p")
 
 
-def debezium(log: DataFrame, cluster: str = "default") -> Column:
-    """payload {source, ts_ms, transaction, op, before, after} with op c, u or d."""
+#: Names of types in debezium's schema blocks.
+_CONNECT = {"int": "int32", "bigint": "int64", "double": "double", "float": "float", "string": "string", "boolean": "boolean", "binary": "bytes"}
+
+
+def debezium_schema(columns: T.StructType, cluster: str = "default", schema: str = "", table: str = "") -> str:
+    """The schema block of a table's messages: before and after have the table's fields."""
+    cells = [{"type": _CONNECT.get(f.dataType.simpleString(), "string"), "optional": f.nullable, "field": f.name} for f in columns.fields]
+    name = ".".join([cluster, schema, table])
+    images = [{"type": "struct", "optional": True, "name": f"{name}.Value", "field": side, "fields": cells} for side in ("before", "after")]
+    rest = [{"type": "string", "optional": False, "field": "op"}, {"type": "int64", "optional": True, "field": "ts_ms"}]
+    return json.dumps({"type": "struct", "optional": False, "name": f"{name}.Envelope", "version": 1, "fields": images + rest}, separators=(",", ":"))
+
+
+def debezium(log: DataFrame, cluster: str = "default", schema: str | None = None) -> Column:
+    """payload {source, ts_ms, transaction, op, before, after} with op c, u or d, after the schema block if one is given."""
     op = F.when(F.col("op") == "I", "c").when(F.col("op") == "U", "u").otherwise("d")
     ms = F.shiftright("commit_ts", 18)
     source = F.struct(F.lit("2.4.0").alias("version"), F.lit("change_feed").alias("connector"), F.lit(cluster).alias("name"), ms.alias("ts_ms"), F.lit("false").alias("snapshot"), F.col("schema_name").alias("db"), F.col("table_name").alias("table"), F.col("commit_ts").alias("commit_ts"), F.lit(cluster).alias("cluster_id"))
     payload = F.struct(source.alias("source"), ms.alias("ts_ms"), F.lit(None).cast("string").alias("transaction"), op.alias("op"), F.when(F.col("op") != "I", F.col("before")).alias("before"), F.when(F.col("op") != "D", F.col("after")).alias("after"))
-    return F.to_json(F.struct(payload.alias("payload")), KEEP_NULLS)
+    text = F.to_json(F.struct(payload.alias("payload")), KEEP_NULLS)
+    return text if schema is None else F.concat(F.lit('{"schema":' + schema + ","), F.substr(text, F.lit(2)))
 
 
 def from_debezium(messages: DataFrame, columns: T.StructType, message: str = "message") -> DataFrame:

@@ -39,6 +39,24 @@ def glob_regex(pattern: str) -> str:
     return out
 
 
+def table_regex(rule: str) -> tuple[str, str]:
+    """Patterns of schema and table of a rule schema.table; either part is a glob, or a regular expression between slashes, or in quotes as it is."""
+    parts, at = [], 0
+    while at < len(rule) and len(parts) < 2:
+        close = {"/": "/", "`": "`", '"': '"'}.get(rule[at])
+        stop = rule.find(close, at + 1) if close else -1
+        if close and stop > 0:
+            inner, at = rule[at + 1 : stop], stop + 1
+            parts.append(f"^(?:{inner})$" if close == "/" else f"^{re.escape(inner)}$")
+        else:
+            stop = rule.find(".", at)
+            stop = len(rule) if stop < 0 else stop
+            parts.append(f"^{glob_regex(rule[at:stop])}$")
+            at = stop
+        at += rule[at : at + 1] == "."
+    return parts[0] if parts else "^$", parts[1] if len(parts) > 1 else "^.*$"
+
+
 @dataclass(frozen=True)
 class TableRules:
     """Rules schema.table, ! for exclusion; the last that matches decides, and without rules everything passes."""
@@ -51,9 +69,8 @@ class TableRules:
         out = F.lit(False)
         for rule in self.rules:
             keep = not rule.startswith("!")
-            left, _, right = rule.lstrip("!").partition(".")
-            parts = [p if self.case_sensitive else p.lower() for p in (left, right or "*")]
-            hit = fold(F.col(schema)).rlike(f"^{glob_regex(parts[0])}$") & fold(F.col(table)).rlike(f"^{glob_regex(parts[1])}$")
+            left, right = table_regex(rule.lstrip("!") if self.case_sensitive else rule.lstrip("!").lower())
+            hit = fold(F.col(schema)).rlike(left) & fold(F.col(table)).rlike(right)
             out = F.when(hit, F.lit(keep)).otherwise(out)
         return F.coalesce(out & ~F.lower(F.col(schema)).isin(*SYSTEM_SCHEMAS), F.lit(False))
 
@@ -201,8 +218,8 @@ class ColumnSelector:
 def select_columns(log: DataFrame, selectors: Sequence[ColumnSelector], schema: str, table: str, primary: Sequence[str], unique: Sequence[Sequence[str]] = ()) -> DataFrame:
     """Both images with only the selected columns; the full primary key or one full unique key must survive."""
     for s in selectors:
-        left, _, right = s.tables.partition(".")
-        if not (re.fullmatch(glob_regex(left), schema) and re.fullmatch(glob_regex(right or "*"), table)):
+        left, right = table_regex(s.tables)
+        if not (re.search(left, schema) and re.search(right, table)):
             continue
         kept = s.kept(log.schema["after"].dataType.names)
         if primary and not set(primary) <= set(kept) and not any(set(u) <= set(kept) for u in unique):

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.operators.filters import glob_regex
+from changeloom.operators.filters import table_regex
 
 TOPIC_LENGTH = 249
 
@@ -56,24 +56,46 @@ def valid_topic(expression: str, protocol: str = "") -> bool:
     return bool(re.fullmatch(rf"{plain}(\{{schema\}})?{plain}(\{{table\}})?{plain}", expression)) and bool(expression)
 
 
+def valid_pulsar_topic(expression: str) -> bool:
+    """Whether an expression is a plain name, or a full one: (non-)persistent://tenant/namespace/topic."""
+    if "persistent://" not in expression:
+        return bool(expression) and "/" not in expression
+    part = r"[A-Za-z0-9{}._-]*"
+    return bool(re.fullmatch(rf"(persistent|non-persistent)://{part}/{part}/{part}", expression))
+
+
 @dataclass(frozen=True)
 class DispatchRule:
-    """Tables of a pattern go to a topic expression by a partition rule."""
+    """Tables of a pattern go to a topic expression by a partition rule; index names the index whose columns an index-value rule takes."""
 
     tables: str
     topic: str
     partition: str = "default"
     columns: tuple[str, ...] = ()
+    index: str = ""
+
+    def names(self, keys: Sequence[str], indexes: Mapping[str, Sequence[str]]) -> Sequence[str]:
+        if self.index:
+            if self.index not in indexes:
+                raise ValueError(f"no index {self.index} for {self.tables}")
+            return indexes[self.index]
+        return self.columns or keys
+
 
+def dispatch(log: DataFrame, rules: Sequence[DispatchRule], default_topic: str, n: int, keys: Sequence[str], indexes: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """topic and partition of each change: the first rule that matches, else the default topic by table.
 
-def dispatch(log: DataFrame, rules: Sequence[DispatchRule], default_topic: str, n: int, keys: Sequence[str]) -> DataFrame:
-    """topic and partition of each change: the first rule that matches, else the default topic by table."""
+    indexes: columns of named indexes; a rule that names another one, or columns that aren't there, is an error.
+    """
+    fields = set(log.schema["after"].dataType.names)
     schema, table = F.col("schema_name"), F.col("table_name")
     at, to = F.lit(default_topic), partition("default", n, schema, table)
     for rule in reversed(rules):
-        left, _, right = rule.tables.partition(".")
-        hit = F.lower(schema).rlike(f"^{glob_regex(left.lower())}$") & F.lower(table).rlike(f"^{glob_regex((right or '*').lower())}$")
-        names = rule.columns or keys
+        left, right = table_regex(rule.tables.lower())
+        hit = F.lower(schema).rlike(left) & F.lower(table).rlike(right)
+        names = rule.names(keys, indexes or {})
+        if missing := set(names) - fields:
+            raise ValueError(f"no column {', '.join(sorted(missing))} for {rule.tables}")
         values = [(c, F.when(F.col("after").isNotNull(), F.col(f"after.{c}")).otherwise(F.col(f"before.{c}"))) for c in names]
         at = F.when(hit, topic(rule.topic, schema, table)).otherwise(at)
         to = F.when(hit, partition(rule.partition, n, schema, table, values, F.col("commit_ts"))).otherwise(to)
@@ -85,8 +107,8 @@ def ddl_topic(ddl: DataFrame, rules: Sequence[DispatchRule], default_topic: str)
     name = F.when(F.lower("type").like("rename table%"), F.coalesce("pre_table_name", "table_name")).otherwise(F.col("table_name"))
     schema, out = F.col("schema_name"), F.lit(default_topic)
     for rule in reversed(rules):
-        left, _, right = rule.tables.partition(".")
-        hit = F.lower(schema).rlike(f"^{glob_regex(left.lower())}$") & F.lower(name).rlike(f"^{glob_regex((right or '*').lower())}$")
+        left, right = table_regex(rule.tables.lower())
+        hit = F.lower(schema).rlike(left) & F.lower(name).rlike(right)
         out = F.when(hit, topic(rule.topic, schema, name)).otherwise(out)
     return ddl.withColumn("topic", F.when(F.coalesce(name, F.lit("")) == "", F.lit(default_topic)).otherwise(out))
 
@@ -106,7 +128,8 @@ def route(log: DataFrame, rules: Sequence[RouteRule]) -> DataFrame:
     schema, table = F.col("schema_name"), F.col("table_name")
     to_s, to_t = schema, table
     for rule in reversed(rules):
-        hit = schema.rlike(f"^{glob_regex(rule.schema)}$") & table.rlike(f"^{glob_regex(rule.table)}$")
+        left, right = (table_regex(x)[0] for x in (rule.schema, rule.table))
+        hit = schema.rlike(left) & table.rlike(right)
         to_s = F.when(hit, F.lit(rule.target_schema)).otherwise(to_s)
         to_t = F.when(hit, F.lit(rule.target_table) if rule.target_table else table).otherwise(to_t)
     return log.withColumn("target_schema", to_s).withColumn("target_table", to_t)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.functions import binary, codecs
-from changeloom.operators import changelog, conflicts, ddl, diff, filters, spans, statements
+from changeloom.functions import binary, codecs, decoders
+from changeloom.operators import changelog, conflicts, ddl, diff, filters, routing, spans, statements
 from changeloom.plans import fixtures
 from changeloom.plans.catalog import _DIFF, _IMAGES, _ORDER, _WITH_LOG, CRC, KEYS, VALUES, _checksum_sql, _flat, _order_text, _pair, _query, _TEXT, crc32, narrow_log
 from changeloom.sources import storage
@@ -190,6 +190,28 @@ def claim_check_split(spark, sf_dir):
     return sent.withColumn("message", F.when(F.col("message").startswith('{"claimCheckLocation"'), "claim").otherwise(F.col("message")))
 
 
+@_query(f"{_WITH_LOG} SELECT table_name, op, commit_ts, o_orderkey, CAST(NULL AS BIGINT) AS a_custkey FROM log WHERE op = 'U' UNION ALL SELECT table_name, op, commit_ts, o_orderkey, a_custkey FROM log WHERE op <> 'U'")
+def canal_json_within_a_size(spark, sf_dir):
+    """Messages of updates, which are the longer ones, are cut to handle keys."""
+    own = fixtures.log(spark, sf_dir)
+    sent = codecs.canal_json_within(own, KEYS, 590)
+    return _flat(decoders.from_canal_json(sent.select("message"), own.schema["after"].dataType), "table_name", "op", "commit_ts").select("table_name", "op", "commit_ts", "o_orderkey", "a_custkey")
+
+
+@_query("SELECT o_orderkey, o_custkey % 100 BETWEEN 10 AND 19 AS regex, o_custkey % 100 = 7 AS quoted FROM orders")
+def table_rules_by_regex(spark, sf_dir):
+    rows = fixtures.tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", F.lit("shop").alias("schema_name"), F.concat(F.lit("t"), F.col("o_custkey") % 100).alias("table_name"))
+    rules = {"regex": filters.TableRules((r"shop./t1\d/",)), "quoted": filters.TableRules(("`shop`.`t7`",))}
+    return rows.select("o_orderkey", *(r.column().alias(n) for n, r in rules.items()))
+
+
+@_query(f"""{_WITH_LOG}, {CRC}, base_hash AS (SELECT table_name, {crc32("'shop' || table_name")} AS h FROM (SELECT DISTINCT table_name FROM log), crc)
+SELECT seq, CAST(xor(h, {crc32("'o_custkey' || coalesce(a_custkey, b_custkey)")}) % 8 AS INTEGER) AS partition FROM log JOIN base_hash USING (table_name), crc""")
+def named_index_dispatch(spark, sf_dir):
+    rules = [routing.DispatchRule("*.*", "t", "index-value", index="uk")]
+    return routing.dispatch(fixtures.log(spark, sf_dir), rules, "main", 8, KEYS, {"uk": ["o_custkey"]}).select("seq", "partition")
+
+
 @_query(f"{_WITH_LOG} SELECT seq, CASE WHEN op = 'D' THEN NULL ELSE a_custkey END AS a_custkey, CASE WHEN op = 'D' THEN NULL ELSE b_custkey END AS b_custkey, o_orderkey FROM log")
 def handle_keys_on_delete(spark, sf_dir):
     return _flat(filters.handle_keys_only(fixtures.log(spark, sf_dir), KEYS), "seq").select("seq", "a_custkey", "b_custkey", "o_orderkey")

@@ -48,7 +48,29 @@ def expired(paths: Sequence[str], checkpoint_date: str, days: int) -> list[str]:
     import re
 
     last = datetime.date.fromisoformat(checkpoint_date) - datetime.timedelta(days=days)
-    return [p for p in paths if (m := re.search(r"date=(\d{4}-\d\d-\d\d)", p)) and datetime.date.fromisoformat(m[1]) < last]
+    return [p for p in paths if (m := re.search(r"(?:date=|/)(\d{4}-\d\d-\d\d)(?:/|$)", p)) and datetime.date.fromisoformat(m[1]) < last]
+
+
+def remove_expired(spark: SparkSession, root: str, checkpoint_date: str, days: int) -> list[str]:
+    """Deletes what is expired under a folder of any store, and folders that are left empty; gives the paths deleted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed, found = fs.listFiles(path, True), []
+    while listed.hasNext():
+        found.append(listed.next().getPath().toString())
+    gone = expired(found, checkpoint_date, days)
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), False)
+    for name in sorted({x.rsplit("/", 1)[0] for x in gone}, key=len, reverse=True):
+        parent = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if fs.exists(parent) and not len(fs.listStatus(parent)):
+            fs.delete(parent, False)
+    return gone
+
+
+def write_repairs(statements: DataFrame, path: str, chunk: str = "chunk") -> None:
+    """Repair statements in a folder for each chunk, sorted within it."""
+    statements.repartitionByRange(chunk, "statement").sortWithinPartitions(chunk, "statement").select(chunk, "statement").write.mode("overwrite").partitionBy(chunk).text(path)
 
 
 def _to(kind: str) -> Callable[..., None]:
@@ -63,6 +85,7 @@ SINKS: dict[str, Callable[..., None]] = {
     **dict.fromkeys(("file", "s3", "gcs", "gs", "azblob", "azure"), _to("parquet")),
     **dict.fromkeys(("blackhole", "noop"), lambda frame, target="", **_: frame.write.mode("overwrite").format("noop").save()),
     **dict.fromkeys(("kafka", "kafka+ssl"), lambda frame, target, **o: frame.select("topic", "partition", "key", "value").write.format("kafka").options(**{"kafka.bootstrap.servers": target} | o).save()),
+    **dict.fromkeys(("pulsar", "pulsar+ssl", "pulsar+http", "pulsar+https"), lambda frame, target, **o: frame.select("topic", "key", "value").write.format("pulsar").options(**{"service.url": target} | o).save()),
     **dict.fromkeys(("mysql", "mysql+ssl", "tidb", "tidb+ssl"), lambda frame, target, **o: frame.write.mode("append").format("jdbc").options(url=target, **o).save()),
 }
 

@@ -13,7 +13,7 @@ from changeloom.functions import binary, codecs, decoders, protobuf
 from changeloom.operators import changelog, conflicts, ddl, diff, filters, routing, spans, statements
 from changeloom.plans import fixtures
 from changeloom.plans.catalog import narrow_log
-from changeloom.sources import storage
+from changeloom.sources import files, storage
 from changeloom.streaming import feed
 
 SF = "/root/testdata/sf0.001"
@@ -200,3 +200,43 @@ def test_chunks_do_not_depend_on_partitions(spark):
     got = [[(r["chunk"], r["upper"]["k"], r["upper"]["n"], r["n"]) for r in diff.chunk_bounds(rows.repartition(p), ["k", "n"], 100).orderBy("chunk").collect()] for p in (1, 7)]
     ordered = sorted((k % 250, k) for k in range(1000))
     assert got[0] == got[1] == [(c, *ordered[c * 100 + 99], 100) for c in range(10)]
+
+
+def test_pulsar_topics():
+    assert [routing.valid_pulsar_topic(x) for x in ("persistent://a/b/{schema}_{table}", "persistent://a/b", "t", "a/b", "")] == [True, False, True, False, False]
+
+
+def test_rules_that_name_what_is_not_there(spark):
+    log = fixtures.log(spark, SF)
+    with pytest.raises(ValueError, match="no index uk"):
+        routing.dispatch(log, [routing.DispatchRule("*.*", "t", "index-value", index="uk")], "m", 4, ["o_orderkey"])
+    with pytest.raises(ValueError, match="no column nothing"):
+        routing.dispatch(log, [routing.DispatchRule("*.*", "t", "columns", ("nothing",))], "m", 4, ["o_orderkey"])
+
+
+def test_retention_deletes_old_days(spark, tmp_path):
+    for day in ("2024-01-01", "2024-02-01"):
+        (tmp_path / f"s/t/1/{day}").mkdir(parents=True)
+        (tmp_path / f"s/t/1/{day}/CDC000001.csv").write_text("x")
+    gone = files.remove_expired(spark, f"file://{tmp_path}", "2024-02-03", 7)
+    assert len(gone) == 1 and sorted(x.name for x in (tmp_path / "s/t/1").iterdir()) == ["2024-02-01"]
+
+
+def test_repair_files_by_chunk(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "chunk long, statement string")
+    files.write_repairs(rows, f"{tmp_path}/fix")
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/fix/chunk=1").collect()) == ["a", "b"] and spark.read.text(f"{tmp_path}/fix").count() == 3
+
+
+def test_debezium_with_its_schema(spark):
+    log = fixtures.log(spark, SF)
+    columns = log.schema["after"].dataType
+    block = codecs.debezium_schema(columns, "c", "shop", "orders")
+    message = json.loads(log.select(codecs.debezium(log, "c", block).alias("m")).first()["m"])
+    assert [f["field"] for f in message["schema"]["fields"]] == ["before", "after", "op", "ts_ms"] and message["payload"]["op"] in "cud"
+    assert message["schema"]["fields"][1]["fields"][0] == {"type": "int64", "optional": True, "field": "o_orderkey"}
+
+
+def test_messages_too_large_for_their_keys(spark):
+    with pytest.raises(Exception, match="too large"):
+        codecs.canal_json_within(fixtures.log(spark, SF), ["o_orderkey"], 10).select("message").collect()

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.operators.filters import handle_keys_only
-
 KEEP_NULLS = {"ignoreNullFields": "false"}
 #: JDBC type numbers and MySQL names by type.
 SQL_TYPES = {"int": (4, "int"), "bigint": (-5, "bigint"), "double": (8, "double"), "float": (7, "float"), "string": (12, "varchar"), "timestamp": (93, "timestamp"), "date": (91, "date"), "boolean": (-6, "tinyint"), "binary": (2004, "blob")}
@@ -33,9 +31,9 @@ def texts(side: str, columns: dict[str, str]) -> Column:
 def canal_json(log: DataFrame, keys: Sequence[str], extension: bool = True, keys_only: bool = False) -> Column:
     """canal-json: data and old hold texts only; a delete carries its before image in data.
 
-    keys_only: the images have been cut to handle keys, as the whole message was too large, and the extension says so.
+    keys_only: only handle keys are sent, as the whole message was too large, and the extension says so.
     """
-    columns = _types(log)
+    columns = {c: t for c, t in _types(log).items() if not keys_only or c in keys}
     data = F.coalesce(texts("after", columns), texts("before", columns))
     fields = [
         F.lit(0).alias("id"), F.col("schema_name").alias("database"), F.col("table_name").alias("table"), F.array(*map(F.lit, keys)).alias("pkNames"), F.lit(False).alias("isDdl"),
@@ -51,10 +49,9 @@ def canal_json(log: DataFrame, keys: Sequence[str], extension: bool = True, keys
 
 def canal_json_within(log: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """log without images, with message: canal-json, cut to handle keys where it is over `most` bytes; an error if even that is."""
-    both = handle_keys_only(log.withColumn("_whole", canal_json(log, keys)), keys, ("I", "U", "D"))
-    slim = canal_json(both.select(*log.columns), keys, keys_only=True)
-    fits = F.when(F.octet_length("_whole") <= most, F.col("_whole")).when(F.octet_length(slim) <= most, slim).otherwise(F.raise_error(F.lit("a message is too large even with its keys alone")).cast("string"))
-    return both.withColumn("message", fits).drop("_whole", "before", "after")
+    whole, slim = canal_json(log, keys), canal_json(log, keys, keys_only=True)
+    fits = F.when(F.octet_length(whole) <= most, whole).when(F.octet_length(slim) <= most, slim).otherwise(F.raise_error(F.lit("a message is too large even with its keys alone")).cast("string"))
+    return log.withColumn("message", fits).drop("before", "after")
 
 
 def from_canal_json(messages: DataFrame, columns: T.StructType, message: str = "message") -> DataFrame:

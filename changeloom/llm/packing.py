@@ -25,7 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from changeloom.llm.words import ragged
 
 WINDOW = 4096
 CLOSE = 2
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 #: How the vocabulary's file splits lower-case text into words, written for texts of the plain alphabet below.
@@ -66,12 +66,13 @@ class WordEncoder:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = [0]
+        self.ends = np.zeros(1, np.int64)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
+        ends = [self.ends]
         for at in range(0, len(fresh), 500):
             some = fresh[at : at + 500]
             (ids,) = self._encoded([" ".join(some)])
@@ -79,27 +80,31 @@ class WordEncoder:
             if len(stops) != len(some) or stops[-1] != len(ids):
                 parts = self._encoded(some)
                 ids, stops = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-            first = self.ends[-1]
+            first = int(ends[-1][-1])
             if first + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
             self.ids[first : first + len(ids)] = ids
-            self.number.update(zip(some, range(len(self.ends) - 1, len(self.ends) - 1 + len(some)), strict=True))
-            self.ends += (first + stops).tolist()
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+            ends.append(first + stops)
+        self.ends = np.concatenate(ends)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         plain = [not _OTHER.search(t) for t in texts]
         split = [_SPLIT.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        known = set(chain.from_iterable(split))
-        fresh = known - self.number.keys()
+        found = list(chain.from_iterable(split))
+        index = np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
+        missing = np.flatnonzero(index < 0).tolist()
+        fresh = dict.fromkeys(found[k] for k in missing)
         if len(self.number) + len(fresh) > REMEMBERED:
             self.forget()
-            fresh = known
-        self._learn(list(fresh))
-        index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        ends = np.array(self.ends, np.int64)
-        lengths = ends[index + 1] - ends[index]
-        ids = self.ids[ragged(ends[index], lengths)]
+            fresh, missing = dict.fromkeys(found), range(len(found))
+        if fresh:
+            self._learn(list(fresh))
+            index[missing] = np.fromiter((self.number[found[k]] for k in missing), np.int64, len(missing))
+        begins = self.ends[index]
+        lengths = self.ends[index + 1] - begins
+        ids = self.ids[ragged(begins, lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, split)])]
         return [ids[a:b] if p else self._encoded([t])[0] for t, p, a, b in zip(texts, plain, total[:-1], total[1:], strict=True)]
 

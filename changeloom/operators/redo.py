@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +43,30 @@ def segments(log: DataFrame, ddl_ts: Sequence[int]) -> DataFrame:
     for ts in ddl_ts:
         out = out + (F.col("commit_ts") > ts).cast("int")
     return log.withColumn("segment", out)
+
+
+def write_ddl(ddl: DataFrame, path: str) -> None:
+    """Appends DDL events to the log; they are few."""
+    ddl.coalesce(1).sortWithinPartitions("commit_ts", "seq").write.mode("append").parquet(path)
+
+
+def read_ddl(spark: SparkSession, path: str, checkpoint_ts: int, resolved_ts: int, supported: Sequence[str]) -> DataFrame:
+    """DDL events that a replay runs: those after the checkpoint, and those at it if their type is supported there; each once."""
+    rows = spark.read.parquet(path).where((F.col("commit_ts") <= resolved_ts) & ((F.col("commit_ts") > checkpoint_ts) | ((F.col("commit_ts") == checkpoint_ts) & F.lower("type").isin([x.lower() for x in supported]))))
+    return rows.dropDuplicates(["commit_ts", "seq"])
+
+
+def flushed(spans: DataFrame) -> DataFrame:
+    """One row: the timestamps up to which all spans (checkpoint_ts, resolved_ts of each flush by span) are in the log; neither goes back."""
+    each = spans.groupBy("span").agg(F.max("checkpoint_ts").alias("checkpoint_ts"), F.max("resolved_ts").alias("resolved_ts"))
+    return each.agg(F.min("checkpoint_ts").alias("checkpoint_ts"), F.min("resolved_ts").alias("resolved_ts"))
+
+
+def replay_with_ddl(base: DataFrame, log: DataFrame, ddl_ts: Sequence[int], keys: Sequence[str], run: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The table after a range with DDLs: each segment of changes is applied, then the DDL that ends it (run gets the table and its timestamp)."""
+    numbered = segments(log, sorted(ddl_ts))
+    table = base
+    for k, ts in enumerate([*sorted(ddl_ts), None]):
+        table = apply_log(table, numbered.where(F.col("segment") == k).drop("segment"), keys)
+        table = table if ts is None else run(table, ts)
+    return table

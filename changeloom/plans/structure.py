@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeloom.functions import binary, codecs, decoders
-from changeloom.operators import changelog, conflicts, ddl, diff, filters, routing, spans, statements
+from changeloom.operators import changelog, conflicts, ddl, diff, filters, redo, routing, spans, statements
 from changeloom.plans import fixtures
-from changeloom.plans.catalog import _DIFF, _IMAGES, _ORDER, _WITH_LOG, CRC, KEYS, VALUES, _checksum_sql, _flat, _order_text, _pair, _query, _TEXT, crc32, narrow_log
+from changeloom.plans.catalog import _APPLIED, _DIFF, _FINAL, _IMAGES, _ORDER, _WITH_LOG, CRC, KEYS, VALUES, _checksum_sql, _flat, _order_text, _pair, _query, _TEXT, crc32, narrow_log
 from changeloom.sources import storage
 from changeloom.streaming import feed
 
@@ -352,3 +352,16 @@ def vector_text_round_trip(spark, sf_dir):
     rows = fixtures.tables(spark, sf_dir, "embeddings")["embeddings"].where("embedding IS NOT NULL").select("vec_id", "embedding")
     kind = rows.schema["embedding"].dataType.elementType
     return rows.select("vec_id", codecs.vector_from_text(codecs.vector_text(F.col("embedding")), kind).eqNullSafe(F.col("embedding")).alias("same"))
+
+
+# Redo.
+@_query(f"{_WITH_LOG}, first AS (SELECT * FROM log WHERE commit_ts <= 2030), final AS ({_FINAL.format('first')}), middle AS ({_APPLIED}), kept AS (SELECT * FROM middle WHERE o_orderkey % 2 = 0), second AS (SELECT * FROM log WHERE commit_ts > 2030), last AS ({_FINAL.format('second')}) SELECT * FROM kept WHERE o_orderkey NOT IN (SELECT o_orderkey FROM last) UNION ALL SELECT o_orderkey, a_custkey, a_status, a_price, a_priority FROM last WHERE op <> 'D'")
+def redo_with_ddl(spark, sf_dir):
+    """A DDL between two segments (here one that drops the partition of odd keys) sees what came before it, and only that."""
+    return redo.replay_with_ddl(fixtures.base(spark, sf_dir), fixtures.log(spark, sf_dir), [2030], KEYS, lambda table, ts: table.where("o_orderkey % 2 = 0"))
+
+
+@_query("SELECT CAST(40 AS BIGINT) AS checkpoint_ts, CAST(70 AS BIGINT) AS resolved_ts")
+def redo_flushed(spark, sf_dir):
+    rows = "SELECT * FROM (VALUES ('a', 40L, 90L), ('b', 50L, 60L), ('b', 45L, 70L), ('a', 30L, 20L)) AS t(span, checkpoint_ts, resolved_ts)"
+    return redo.flushed(spark.sql(rows))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeloom.functions import binary, codecs, decoders, protobuf
-from changeloom.operators import changelog, conflicts, ddl, diff, filters, routing, spans, statements
+from changeloom.operators import changelog, conflicts, ddl, diff, filters, redo, routing, spans, statements
 from changeloom.plans import fixtures
 from changeloom.plans.catalog import narrow_log
 from changeloom.sources import files, storage
@@ -240,3 +240,11 @@ def test_debezium_with_its_schema(spark):
 def test_messages_too_large_for_their_keys(spark):
     with pytest.raises(Exception, match="too large"):
         codecs.canal_json_within(fixtures.log(spark, SF), ["o_orderkey"], 10).select("message").collect()
+
+
+def test_redo_ddl_at_the_checkpoint(spark, tmp_path):
+    rows = spark.createDataFrame([(10, 1, "create table"), (20, 2, "add column"), (20, 3, "exchange partition"), (30, 4, "drop table"), (50, 5, "add column")], "commit_ts long, seq long, type string")
+    redo.write_ddl(rows, f"{tmp_path}/ddl")
+    redo.write_ddl(rows.where("seq = 4"), f"{tmp_path}/ddl")
+    got = redo.read_ddl(spark, f"{tmp_path}/ddl", 20, 40, ["add column"])
+    assert sorted(r["seq"] for r in got.collect()) == [2, 4]

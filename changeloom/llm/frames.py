@@ -39,7 +39,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def _cleaned(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEAN)
+    before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
         yield

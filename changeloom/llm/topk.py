@@ -10,7 +10,7 @@ an outsider and drops out.  Reading stops when at most `settle` candidates a que
 are then resolved from their vectors.  Otherwise the lists are read on, at worst to their ends, where
 both bounds are the score; there is no other path.
 
-Queries go to the candidates in broadcasts of at most about QUERIES vectors, and candidates are not moved: a
+Queries go to the candidates in broadcasts of about QUERY_VALUES components, dealt by hash, and candidates are not moved: a
 task reads its partition as blocks, keeps the best k of each query of the broadcast over all of them and sends
 those alone.
 
@@ -34,7 +34,7 @@ from changeloom.llm.frames import bound_batches
 
 SCALE = 64
 BLOCK = 8192
-QUERIES = 65_536  # in a broadcast
+QUERY_VALUES = 1 << 22  # components of the queries in a broadcast
 TOGETHER = 256  # queries whose bounds are held at once
 DEPTHS = (0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 1.0)
 SETTLE = 8  # candidates left for each one wanted
@@ -131,7 +131,7 @@ def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarr
         yield dims, ids.filter(own).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(vectors.filter(own), dims)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE, block: int = BLOCK, query_values: int = QUERY_VALUES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best other rows."""
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
     )
     whole = whole.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     asked = whole.where("is_query").select("vec_id", "v").distinct()
-    rounds = max(1, -(-asked.count() // queries))
+    rounds = max(1, -(-(asked.agg(F.sum(F.size("v"))).first()[0] or 0) // query_values))
     schema, out = "query_id long, vec_id long, score long", None
     for part in range(rounds):
         some = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(rounds)) == part)

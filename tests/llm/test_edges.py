@@ -120,7 +120,7 @@ def test_reading_of_lists_stops_by_the_bounds():
 def test_top_k_counts_every_row_and_blocks_of_queries(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.1]), (1, [0.5, 0.2]), (2, [0.25, 0.0]), (20, [0.0, 1.0]), (40, [1.0] * 3)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in topk.top_k(table, F.col("vec_id") % 20 == 0, 3, queries=1).orderBy("query_id", "rank").collect()]
+    got = [tuple(r) for r in topk.top_k(table, F.col("vec_id") % 20 == 0, 3, query_values=2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 64 * 32), (0, 2, 1, 64 * 32), (0, 3, 2, 64 * 16), (20, 1, 1, 64 * 12), (20, 2, 1, 64 * 6), (20, 3, 0, 0)]
 
 

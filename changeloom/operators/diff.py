@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,13 +166,12 @@ def global_checksums(tables: Mapping[str, tuple[DataFrame | None, DataFrame | No
         if name in done:
             continue
         sides = [checksums(rows, text(rows)) if rows is not None else None for rows in (source, target)]
-        some = next(s for s in sides if s is not None)
-        a, b = (s if s is not None else some.select(F.lit(0).cast("long").alias("row_count"), F.lit(None).cast("decimal(20,0)").alias("checksum")) for s in sides)
-        both = a.crossJoin(b.withColumnsRenamed({"row_count": "_n", "checksum": "_x"}))  # one row and one row
-        alike = F.col("row_count") == F.col("_n")
+        parts = [s.withColumn("_side", F.lit(k)) for k, s in enumerate(sides) if s is not None]
+        each = {k: (F.coalesce(F.max(F.when(F.col("_side") == k, F.col("row_count"))), F.lit(0)), F.max(F.when(F.col("_side") == k, F.col("checksum")))) for k in (0, 1)}
+        alike = each[0][0] == each[1][0]
         if None not in (source, target):
-            alike = alike & F.col("checksum").eqNullSafe(F.col("_x"))
-        row = both.select(F.lit(name).alias("table_name"), F.col("row_count").alias("source_rows"), F.col("_n").alias("target_rows"), alike.alias("same"))
+            alike = alike & each[0][1].eqNullSafe(each[1][1])
+        row = reduce(DataFrame.unionByName, parts).agg(F.lit(name).alias("table_name"), each[0][0].alias("source_rows"), each[1][0].alias("target_rows"), alike.alias("same"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -63,26 +63,41 @@ def join_schemas(schemas: Iterable[dict[str, tuple[str, bool]]]) -> dict[str, tu
 
 
 class OptimisticLock:
-    """Each shard submits its next schema; the target gets DDL only when the joined schema changes."""
+    """Each shard submits its next schema; the target gets DDL only when the joined schema changes.
+
+    A schema that can't be joined, or that adds a column again while others have yet to drop it, is a conflict: the shard keeps its old
+    schema in the lock and waits, until it submits one that fits, which resolves the conflict.
+    """
 
     def __init__(self, shards: dict[str, dict[str, tuple[str, bool]]]) -> None:
         self.shards = dict(shards)
         self.joined = join_schemas(self.shards.values())
+        self.waiting: set[str] = set()
+        self.gone: set[str] = set()
+
+    def dropping(self) -> set[str]:
+        """Columns that some shards have dropped and others still have."""
+        return {c for c in self.gone if any(c in s for s in self.shards.values())}
 
     def submit(self, shard: str, schema: dict[str, tuple[str, bool]]) -> tuple[str, list[str]]:
-        """("none" or "conflict", statements for the target)."""
+        """("none", "conflict" or "resolved", statements for the target)."""
+        old = self.shards.get(shard, {})
         try:
+            if (schema.keys() - old.keys()) & self.dropping():
+                raise ValueError("a column that is being dropped")
             after = join_schemas((self.shards | {shard: schema}).values())
         except ValueError:
+            self.waiting.add(shard)
             return "conflict", []
+        self.gone |= old.keys() - schema.keys()
         self.shards[shard] = schema
         added = [f"ADD COLUMN {n} {t}" for n, (t, _) in after.items() if n not in self.joined]
         dropped = [f"DROP COLUMN {n}" for n in self.joined if n not in after]
         changed = [f"MODIFY COLUMN {n} {t}" for n, (t, _) in after.items() if n in self.joined and self.joined[n][0] != t]
         self.joined = after
-        return "none", added + changed + dropped
-
-
+        state = "resolved" if shard in self.waiting else "none"
+        self.waiting.discard(shard)
+        return state, added + changed + dropped
 
 
 def table_kind(name: str) -> tuple[str, str]:

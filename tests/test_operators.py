@@ -86,6 +86,11 @@ def test_shard_ddl():
     assert lock.submit("a", {"id": ("int", False), "c": ("varchar(10)", True)}) == ("none", ["ADD COLUMN c varchar(10)"])
     assert lock.submit("b", {"id": ("bigint", False), "c": ("varchar(20)", True)}) == ("none", ["MODIFY COLUMN id bigint", "MODIFY COLUMN c varchar(20)"])
     assert lock.submit("b", {"id": ("varchar(5)", False)})[0] == "conflict"
+    assert lock.submit("b", {"id": ("bigint", False), "c": ("varchar(20)", True), "d": ("int", True)})[0] == "resolved"
+    assert lock.submit("a", {"id": ("int", False)}) == ("none", []) and lock.dropping() == {"c"}
+    assert lock.submit("a", {"id": ("int", False), "c": ("varchar(10)", True)})[0] == "conflict"
+    assert lock.submit("b", {"id": ("bigint", False), "d": ("int", True)}) == ("none", ["DROP COLUMN c"])
+    assert lock.submit("a", {"id": ("int", False), "c": ("varchar(10)", True)}) == ("resolved", ["ADD COLUMN c varchar(10)"])
     assert schemas.collapse_online_ddl([("create", "_t_gho", ""), ("alter", "_t_gho", "ADD COLUMN x INT"), ("rename", "t", "_t_del"), ("rename", "_t_gho", "t")]) == [("t", "ADD COLUMN x INT")]
 
 

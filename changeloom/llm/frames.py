@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -88,6 +89,15 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def forget_plans(spark: SparkSession) -> None:
+    """Has the driver collect the plans of finished steps, so that an operator of many steps doesn't let its heap grow to the limit.
+
+    Nothing depends on it but the driver's memory: tables and shuffles are deleted by cut() and drop().
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

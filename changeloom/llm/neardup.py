@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
-from changeloom.llm.frames import cut, drop, fresh
+from changeloom.llm.frames import cut, drop, forget_plans, fresh
 from changeloom.llm.words import GRAPHIC, LOWER, Words, mix, ngrams, ragged, words
 
 SHINGLE = 5
@@ -255,16 +255,14 @@ def _toward_hubs(pairs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, documents: DataFrame, shingle: int, t: Fraction) -> DataFrame:
     """u, v of the pairs that are similar; only texts of documents in a pair are read again and turned into sets."""
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     members = cut(_member_sets(documents.select("doc_id", "text").join(_by_shuffle(ids), "doc_id", "left_semi"), shingle))
     turned = _toward_hubs(pairs)
     possible = _possible(turned, members, t)
-    drop(turned)
-    hubs = _toward_hubs(possible)
-    drop(possible)
-    found = _verified(hubs, members, t)
-    for done in (ids, members, hubs):
+    found = _verified(possible, members, t)
+    for done in (members, turned, possible):
         drop(done)
+    forget_plans(documents.sparkSession)
     return found
 
 
@@ -283,8 +281,10 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     met = shared.join(chosen, "shingle").select(F.struct("id", "n", "at").alias("x"), F.explode("pivots").alias("y")).where("x.id <> y.id").where(_near(t))
     x, y = (signs.select(F.col("id").alias(k), F.struct("id", "n", *PARITIES).alias(s)) for k, s in (("u", "x"), ("v", "y")))
     first = cut(_pairs(_pairs(met).join(x, "u").join(y, "v").where(_small_rest(t))))
+    forget_plans(documents.sparkSession)
     links = _links(first, documents, shingle, t)
     near = components(links)
+    forget_plans(documents.sparkSession)
     placed = shared.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     width = math.log(1 / t) * (1 + 1e-9) if t < 1 else 1.0  # sizes of similar sets are of one class or of neighbours
@@ -296,12 +296,14 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, similarity: Fraction =
     rest = cut(_pairs(rest).join(first, ["u", "v"], "left_anti"))
     for done in (shared, open_, first):
         drop(done)
+    forget_plans(documents.sparkSession)
     ends = near if rest.isEmpty() else components(links.unionByName(_links(rest, documents, shingle, t)))
     named = kept.select("n", "a", "b", "id").join(ends, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
     for done in (signed, kept, rest):
         drop(done)
+    forget_plans(documents.sparkSession)
     return out
 
 

@@ -11,10 +11,11 @@ P(c | ab) = max(n(abc) - D, 0) / n(ab) + D types(ab) / n(ab) P(c | b), the same
 characters before, and a uniform share at the bottom; D = n1 / (n1 + 2 n2) for each order and language.
 A document goes to the language with the lowest cross-entropy per character, the first by name of equal ones.
 
-Rejection is calibrated for each language on training documents, those of about CALIBRATE smallest hashes of the language: the excess of a
+Rejection is calibrated for each language on every training document that the model gives its own language: the excess of a
 document's cross-entropy over its language's mean, times the root of its length up to 400, must
-not pass REJECT times the 0.999 quantile of that excess.  A language with fewer than 20 such documents takes the
-limit of all languages together, and its mean from what it has.
+not pass REJECT times the 0.999 quantile of that excess.  Sums and the quantile are exact, whatever the number of documents:
+values are ranked by counts of one byte of theirs after the other, so the driver holds 256 numbers for each language and rank.
+A language with fewer than 20 such documents takes the limit of all languages together, and its mean from what it has.
 
 Defined results: null text and text without a letter is "und" with score 0 and is rejected; rows with
 null text or null language are not learned from; repeated rows count as often as they occur;
@@ -24,6 +25,7 @@ Whole texts are read, however long.  Other columns are kept by keep_known(), wha
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +40,6 @@ from changeloom.llm.arrays import Files, part_of, small
 from changeloom.llm.frames import cut, drop, shared_path
 from changeloom.llm.words import mix
 
-CALIBRATE = 5_000  # documents of a language
 KEYS_IN_FILE = 1 << 20
 REJECT = 2.0
 _BITS = 21
@@ -228,7 +229,7 @@ def _tables(counted: DataFrame) -> DataFrame:
     return out
 
 
-def train(documents: DataFrame, calibrate: int = CALIBRATE, reject: float = REJECT, keys_in_file: int = KEYS_IN_FILE) -> Model | None:
+def train(documents: DataFrame, reject: float = REJECT, keys_in_file: int = KEYS_IN_FILE) -> Model | None:
     """A model of every language in documents; None if there is nothing to learn from."""
     spark = documents.sparkSession
     counted = cut(_counts(documents))
@@ -284,26 +285,74 @@ def train(documents: DataFrame, calibrate: int = CALIBRATE, reject: float = REJE
     rows.repartition(parts, "part", "kind").sortWithinPartitions("part", "kind").mapInArrow(store, "done long").collect()
     drop(tables)
     model = Model(folder, parts, languages, discount, total, types, size, np.zeros(len(languages)), np.full(len(languages), np.inf))
-    rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("lang", F.col("lang").cast("string"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    every = F.create_map(*(F.lit(x) for lang in languages for x in (lang, max(1, -(-counts[lang] // calibrate)))))
-    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), every[F.col("lang")]) == 0)
-    seen = predict(some, model).where("letters > 0 AND lang_pred = lang_given").select("lang_pred", "entropy", "letters").limit(2 * calibrate * len(languages)).toPandas()
-    weight = np.minimum(seen["letters"].to_numpy(), 400)
-    entropy = seen["entropy"].to_numpy()
-    if not len(entropy):
-        return model
-    own = [(seen["lang_pred"] == lang).to_numpy() for lang in languages]
-    model.mean[:] = np.average(entropy, weights=weight)
-    for k, at in enumerate(own):
-        if at.any():
-            model.mean[k] = np.average(entropy[at], weights=weight[at])
-    excess = (entropy - model.mean[[languages.index(x) for x in seen["lang_pred"]]]) * np.sqrt(weight)
-    for k, at in enumerate(own):
-        model.limit[k] = reject * max(float(np.quantile(excess[at] if at.sum() >= 20 else excess, 0.999)), 1.0)
+    _calibrate(documents.where("text IS NOT NULL AND lang IS NOT NULL"), model, reject)
     return model
 
 
+def _ranked(rows: DataFrame, wanted: list[tuple[int, int]]) -> list[int]:
+    """For each wanted (group, rank from 0) the key of that rank among the rows (group, key) of the group, of all rows for group -1; keys are unsigned."""
+    spark, found, left = rows.sparkSession, [0] * len(wanted), [rank for _, rank in wanted]
+    for shift in range(56, -8, -8):
+        held = spark.sparkContext.broadcast([(group, high) for (group, _), high in zip(wanted, found, strict=True)])
+
+        def count(batches: Iterator[pa.RecordBatch], shift: int = shift, held=held) -> Iterator[pa.RecordBatch]:
+            asked = sorted(set(held.value))
+            n = np.zeros((len(asked), 256), np.int64)
+            for batch in batches:
+                group, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64) >> np.uint64(shift)
+                high, byte = key >> np.uint64(8), (key & np.uint64(255)).astype(np.int64)
+                for x, (g, h) in zip(n, asked, strict=True):
+                    x += np.bincount(byte[(high == np.uint64(h)) & ((group == g) | (g < 0))], minlength=256)
+            at, byte = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([asked[k][0] for k in at], pa.int32()), pa.array(np.array([asked[k][1] for k in at], np.uint64).view(np.int64)), pa.array(byte.astype(np.int32)), pa.array(n[at, byte])], ["group", "high", "byte", "n"])
+
+        counts: dict[tuple[int, int], np.ndarray] = {}
+        for r in rows.mapInArrow(count, "group int, high long, byte int, n long").groupBy("group", "high", "byte").agg(F.sum("n").alias("n")).collect():  # 256 rows for each key wanted
+            counts.setdefault((r["group"], r["high"] % (1 << 64)), np.zeros(256, np.int64))[r["byte"]] = r["n"]
+        for k, (group, _) in enumerate(wanted):
+            below = np.cumsum(counts[group, found[k]])
+            byte = int(np.searchsorted(below, left[k], "right"))
+            left[k] -= int(below[byte - 1]) if byte else 0
+            found[k] = found[k] << 8 | byte
+        held.destroy()
+    return found
+
+
+_SIGN = np.uint64(1 << 63)
+
+
+def _calibrate(rows: DataFrame, model: Model, reject: float) -> None:
+    """Sets the model's means and limits from all rows that it gives their own language."""
+    seen = cut(predict(rows, model).where("letters > 0 AND lang_pred = lang_given").select("lang_pred", "entropy", F.expr("least(letters, 400)").alias("weight")))
+    whole = F.expr("CAST(entropy * weight AS DECIMAL(28, 15))")  # sums of decimals don't depend on the order of the rows
+    sums = {r["lang_pred"]: r for r in seen.groupBy("lang_pred").agg(F.sum(whole).alias("entropy"), F.sum("weight").alias("weight"), F.count("*").alias("n")).collect()}  # a row a language
+    if sums:
+        model.mean[:] = float(sum(r["entropy"] for r in sums.values())) / sum(r["weight"] for r in sums.values())
+        for k, lang in enumerate(model.languages):
+            if lang in sums:
+                model.mean[k] = float(sums[lang]["entropy"]) / sums[lang]["weight"]
+        mean, names = model.mean.copy(), np.array(model.languages, object)
+
+        def excess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k = np.searchsorted(names, batch.column(0).to_numpy(zero_copy_only=False))
+                bits = ((batch.column(1).to_numpy() - mean[k]) * np.sqrt(batch.column(2).to_numpy())).view(np.uint64)
+                key = np.where(bits & _SIGN, ~bits, bits | _SIGN)  # unsigned, in the order of the numbers
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(key.view(np.int64))], ["group", "key"])
+
+        keys = cut(seen.mapInArrow(excess, "group int, key long"))
+        sizes = {-1: sum(r["n"] for r in sums.values())} | {k: sums[x]["n"] for k, x in enumerate(model.languages) if x in sums and sums[x]["n"] >= 20}
+        wanted = [(g, f(0.999 * (n - 1))) for g, n in sizes.items() for f in (math.floor, math.ceil)]
+        bits = np.array(_ranked(keys, wanted), np.uint64)
+        low, high = np.where(bits & _SIGN, bits ^ _SIGN, ~bits).view(np.float64).reshape(-1, 2).T
+        at = np.array([0.999 * (n - 1) % 1 for n in sizes.values()])
+        quantile = dict(zip(sizes, low + (high - low) * at, strict=True))
+        for k in range(len(model.languages)):
+            model.limit[k] = reject * max(float(quantile.get(k, quantile[-1])), 1.0)
+        drop(keys)
+    drop(seen)
+
+
 def _assess(model: Model, some: list[str | None]) -> tuple[np.ndarray, ...]:
     """Of each text: language number, confidence, entropy, letters, and whether it is accepted."""
     codes, offsets = symbols(some)

@@ -66,6 +66,31 @@ def test_language_model_against_dictionaries(docs):
         assert out[k][1] == pytest.approx(min(own)) and out[k][0] == ("xx", "yy")[int(np.argmin(own))]
 
 
+def test_language_limits_from_every_training_row(docs):
+    rng, rare = random.Random(11), [chr(0x4E00 + k) for k in range(2000)]
+
+    def text(letters, odd):
+        return " ".join("".join(rng.choices(rare if rng.random() < odd else letters, k=4)) for _ in range(6))
+
+    rows = [(k, text("abcde", rng.random() ** 20), "xx", None, None) for k in range(11_000)]
+    rows += [(20_000 + k, text("fghij", rng.random() ** 20), "yy", None, None) for k in range(60)] + [(30_000 + k, text("klmno", 0), "zz", None, None) for k in range(5)]
+    table = docs(rows)
+    model = language.train(table)
+    assert model.languages == ["xx", "yy", "zz"]
+    seen = [r for r in language.predict(table, model).collect() if r["letters"] > 0 and r["lang_pred"] == r["lang_given"]]
+    assert len(seen) > 10_900
+    excess = {}
+    for j, lang in enumerate(model.languages):
+        own = [(r["entropy"], min(r["letters"], 400)) for r in seen if r["lang_pred"] == lang]
+        mean = sum(h * n for h, n in own) / sum(n for _, n in own)
+        assert model.mean[j] == pytest.approx(mean, rel=1e-9), lang
+        excess[lang] = [(h - mean) * math.sqrt(n) for h, n in own]
+    whole = [x for e in excess.values() for x in e]
+    for j, lang in enumerate(model.languages):
+        quantile = np.quantile(excess[lang] if len(excess[lang]) >= 20 else whole, 0.999)
+        assert quantile > 1 and model.limit[j] == pytest.approx(language.REJECT * quantile, rel=1e-9), lang
+
+
 def test_severity_against_its_words(docs, spark):
     rng = random.Random(8)
     rows = [(k, " ".join(rng.choices([f"w{i}" for i in range(30)], k=15)) + (" foul" if k % 2 else "") + (" vile" if k % 4 == 3 else "")) for k in range(400)]

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from changeloom.llm import language, licenses, toxicity, words
 
 
@@ -91,6 +92,22 @@ def test_language_limits_from_every_training_row(docs):
         assert quantile > 1 and model.limit[j] == pytest.approx(language.REJECT * quantile, rel=1e-9), lang
 
 
+def test_pipeline_keeps_languages_by_every_row(docs, spark):
+    rng, rare = random.Random(12), [chr(0x4E00 + k) for k in range(2000)]
+
+    def text(odd):
+        return " ".join("".join(rng.choices(rare if rng.random() < odd else "abcde", k=4)) for _ in range(6))
+
+    table = docs([(k, text(0 if k % 500 else k / 25_000), "xx", None, None) for k in range(11_000)] + [(20_000 + k, text(rng.random()), None, None, None) for k in range(3_000)])
+    out = language.predict(table, language.train(table)).collect()
+    own = [(r["entropy"], min(r["letters"], 400)) for r in out if r["lang_given"] and r["letters"] > 0]
+    mean = sum(h * n for h, n in own) / sum(n for _, n in own)
+    limit = language.REJECT * np.quantile([(h - mean) * math.sqrt(n) for h, n in own], 0.999)
+    want = {r["doc_id"] for r in out if r["letters"] > 0 and (r["entropy"] - mean) * math.sqrt(min(r["letters"], 400)) <= limit}
+    assert 0 < len(want) < 14_000
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, table, "").select("doc_id").collect()} == want
+
+
 def test_severity_against_its_words(docs, spark):
     rng = random.Random(8)
     rows = [(k, " ".join(rng.choices([f"w{i}" for i in range(30)], k=15)) + (" foul" if k % 2 else "") + (" vile" if k % 4 == 3 else "")) for k in range(400)]

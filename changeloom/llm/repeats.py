@@ -15,7 +15,8 @@ Tasks combine before the shuffle: an anchor or run that several documents of a t
 settled there but for its smallest document, so no key has more rows than there are
 batches of tasks, whatever share of the documents holds a passage, and no list of a passage's documents exists.
 Keys are sorted within partitions and read as a stream, so a worker holds one batch of rows.
-Every step ends as a table, and its shuffles are deleted before the next begins.
+Every step ends as a table, and its shuffles are deleted before the next begins; runs are shuffled in
+slices of their keys.  Texts are shuffled at every size, as a broadcast of what they are joined with has no bound.
 
 Defined results: null text has no words; a row without an id keeps all its words and owns none; rows
 that share an id never remove each other's words; repeats within a document stay;
@@ -26,6 +27,7 @@ in proportion to it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,6 +42,7 @@ from changeloom.llm.words import GRAPHIC, SAME, Words, mix, ngrams, words
 SPAN = 13
 ANCHOR = 5
 HELD = 800_000
+SLICES = 2  # of the runs' keys, shuffled one after the other
 _SALT = np.uint64(0xA0761D6478BD642F)
 SINGLE, SEVERAL, SETTLED = 0, 1, 2
 
@@ -220,12 +223,19 @@ def _stretches(rows: DataFrame, span: int, anchor: int, bits: int) -> DataFrame:
         if held:
             yield _sent_runs(held)
 
-    found = cut(rows.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(near, "key long, check int, doc_id long, pos int, owner long, opos int"))
+    found = cut(rows.join(anchors.hint("merge"), "doc_id").select("doc_id", "text", "anchors").mapInArrow(near, "key long, check int, doc_id long, pos int, owner long, opos int"))
     drop(anchors)
-    alone = found.where("owner IS NULL").select(*_RUN[:4]).repartition("key").sortWithinPartitions(*_RUN[:4])
-    tied = found.where("owner IS NOT NULL").select(*_RUN[2:]).unionByName(alone.mapInArrow(_owned, "doc_id long, pos int, owner long, opos int"))
-    out = cut(tied.groupBy("doc_id", "owner", (F.col("pos") - F.col("opos")).alias("diagonal")).agg(F.min("opos").alias("low"), (F.max("opos") + span).alias("high")).drop("diagonal").distinct())
+    tied, parts = found.where("owner IS NOT NULL").select(*_RUN[2:]), []
+    for k in range(SLICES):  # each slice's shuffle is deleted before the next; a key is in one slice
+        alone = found.where(f"owner IS NULL AND pmod(key, {SLICES}) = {k}").select(*_RUN[:4]).repartition("key").sortWithinPartitions(*_RUN[:4])
+        owned = alone.mapInArrow(_owned, "doc_id long, pos int, owner long, opos int")
+        owned = owned.unionByName(tied) if k == 0 else owned
+        parts.append(cut(owned.groupBy("doc_id", "owner", (F.col("pos") - F.col("opos")).alias("diagonal")).agg(F.min("opos").alias("low"), F.max("opos").alias("high"))))
     drop(found)
+    every = functools.reduce(DataFrame.unionByName, parts)
+    out = cut(every.groupBy("doc_id", "owner", "diagonal").agg(F.min("low").alias("low"), (F.max("high") + span).alias("high")).drop("diagonal").distinct())
+    for part in parts:
+        drop(part)
     return out
 
 
@@ -243,7 +253,7 @@ def _evidence(rows: DataFrame, stretches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["owner", "low", "high", "words"])
 
     asked = stretches.groupBy("owner").agg(F.collect_set(F.struct("low", "high")).alias("asked"))
-    return cut(rows.join(asked, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "asked").mapInArrow(fetch, "owner long, low int, high int, words binary"))
+    return cut(rows.join(asked.hint("merge"), F.col("doc_id") == F.col("owner")).select("doc_id", "text", "asked").mapInArrow(fetch, "owner long, low int, high int, words binary"))
 
 
 def remove(documents: DataFrame, span: int = SPAN, anchor: int = ANCHOR, texts: bool = False, bits: int = 64) -> DataFrame:
@@ -275,6 +285,6 @@ def remove(documents: DataFrame, span: int = SPAN, anchor: int = ANCHOR, texts:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-    others = stretches.join(evidence, ["owner", "low", "high"]).groupBy("doc_id").agg(F.collect_set("words").alias("others"))
-    out = every.join(others, "doc_id", "left").select("doc_id", "text", "others").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    others = stretches.hint("merge").join(evidence, ["owner", "low", "high"]).groupBy("doc_id").agg(F.collect_set("words").alias("others"))
+    out = every.join(others.hint("merge"), "doc_id", "left").select("doc_id", "text", "others").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")

@@ -110,6 +110,11 @@ def test_repeats_against_windows(table, docs):
     assert got(repeats.remove(docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
 
 
+def test_repeats_shuffle_alike_at_every_size(docs):
+    plan = repeats.remove(docs([(k, BODY[:200]) for k in range(3)]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_packing_round_trip(table):
     from tokenizers import Tokenizer
 

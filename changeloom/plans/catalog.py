@@ -413,8 +413,9 @@ _PAIRS = "SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN rn % 2 = 1 THEN afte
 @_query(f"WITH pairs AS ({_PAIRS}) SELECT p.k AS id, coalesce(CASE WHEN greatest(p.k, p.other) % 3 = 0 THEN q.c END, p.c) AS owner FROM pairs p LEFT JOIN pairs q ON q.k = p.other")
 def swapped_keys(spark, sf_dir):
     """Two rows exchange their keys in one transaction, and seq runs against the order of commits."""
-    pairs = spark.sql(_PAIRS.replace("FROM orders", "FROM {orders}"), **fixtures.tables(spark, sf_dir, "orders"))
-    base = pairs.select(F.col("k").alias("id"), F.col("c").alias("owner"))
+    orders = fixtures.tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    pairs = fixtures.pairs(orders, "k")
+    base = orders.select(F.col("k").alias("id"), F.col("c").alias("owner"))
     row = lambda key: F.struct(F.col(key).alias("id"), F.col("c").alias("owner"))
     moved = pairs.where("greatest(k, other) % 3 = 0 AND other IS NOT NULL").select(F.lit("U").alias("op"), F.lit(7).alias("commit_ts"), F.lit(6).alias("start_ts"), (-F.col("k")).alias("seq"), row("k").alias("before"), row("other").alias("after"))
     return changelog.apply_log(base, moved, ["id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -48,3 +48,36 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(F.col("op") != absent, F.struct(F.col("o_orderkey"), *(F.col(f"{side}_{s}").alias(c) for c, s in short.items())))
 
     return flat.select("op", "table_id", "schema_name", "table_name", "commit_ts", "start_ts", "seq", F.lit(1).cast("long").alias("table_version"), image("b", "I").alias("before"), image("a", "D").alias("after"))
+
+
+#: Rows of a key range that are numbered together, about; and the most ranges of a table.
+RANGE_ROWS, MOST_RANGES = 100_000, 1024
+
+
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are below the key, by binary search; a null key comes after all."""
+    if not bounds:
+        return F.lit(0)
+    known, steps = F.array(*map(F.lit, bounds)), [2**k for k in reversed(range(len(bounds).bit_length()))]
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) < key, at + step).otherwise(at))
+    return F.coalesce(F.when(key.isNull(), len(bounds)).otherwise(below), F.lit(0))  # never null, so that a join on it adds no second search
+
+
+def pairs(rows: DataFrame, key: str, size: int = RANGE_ROWS) -> DataFrame:
+    """Rows with the key of their partner as other: in key order the first goes with the second, the third with the fourth, an odd last one with none.
+
+    Rows are cut into ranges of about `size` by quantiles of the key and numbered within them, after the counts of earlier ranges; the ends
+    of a range see the ends of its neighbours.  So no task sees all rows, and the number of ranges grows with the table.
+    """
+    found = rows.select(F.count("*").alias("n"), F.percentile_approx(key, [k / MOST_RANGES for k in range(1, MOST_RANGES)], 10_000).alias("q")).first()
+    ranges = min(max(-(-found["n"] // size), 1), MOST_RANGES)
+    bounds = sorted({found["q"][k * MOST_RANGES // ranges - 1] for k in range(1, ranges)}) if found["q"] else []
+    cut = rows.withColumn("_part", _range_of(F.col(key), bounds))
+    ends = cut.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+    near = Window.orderBy("_part")  # one row for each range
+    ends = ends.select("_part", "_n", (F.sum("_n").over(near) - F.col("_n")).alias("_before"), F.lag("_high").over(near).alias("_last"), F.lead("_low").over(near).alias("_next"))
+    own = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_last())
+    out = cut.repartitionById(ranges, "_part").join(F.broadcast(ends), "_part").withColumn("_at", F.row_number().over(own))
+    after = F.when(F.col("_at") == F.col("_n"), F.col("_next")).otherwise(F.lead(key).over(own))
+    before = F.when(F.col("_at") == 1, F.col("_last")).otherwise(F.lag(key).over(own))
+    return out.select(*rows.columns, F.when((F.col("_before") + F.col("_at")) % 2 == 1, after).otherwise(before).alias("other"))
